@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from ploidlens.llm import common as C
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Characters often found at the ends of words; only a shortcut.
+ENDS = ".,;:!?'\"()[]*#$%&|<>-"
 #: The bound of the sample, and sizes of the fit.
 PER_LANG, TOTAL, STRETCH = 700, 6000, 120
 BITS, MAXLEN, BLOCK = 18, 24, 64
@@ -75,7 +77,13 @@ def features(words: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    out = []
+    for w in (text or "").lower().split():
+        if w.isalpha() or (w := w.strip(ENDS)).isalpha():
+            out.append(w)
+        elif w:
+            out += WORD.findall(w)
+    return out
 
 
 def marginals(e: np.ndarray, trans: np.ndarray, start: np.ndarray, end_at: np.ndarray) -> np.ndarray:

@@ -168,31 +168,36 @@ def base_features(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, len(SYMBOL.findall(t)), len(lines) - len(set(lines)), repeats
 
 
-def quality(docs: DataFrame, width: float = WIDTH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """For each row: id_col, the base features, base_failed, log_perplexity, band_low, band_high and kept."""
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def judged(docs: DataFrame, width: float = WIDTH, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of docs as the struct `row`, with the base features, base_failed, log_perplexity, band_low, band_high and kept."""
     spark = docs.sparkSession
     got = count_grams(docs, text_col).toPandas()  # at most SYMBOLS ** ORDER rows
     model = spark.sparkContext.broadcast(KneserNey(got["gram"].to_numpy(np.int64), got["n"].to_numpy())) if len(got) else None
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column(0).field(at).to_pylist()
             rows = [base_features(t) for t in texts]
-            score = [float(-m.log_probs(grams(t)).mean(dtype=np.float64)) if t else None for t in texts] if (m := model and model.value) else [None] * len(texts)
-            yield pa.record_batch([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], pa.array(score, pa.float64())], ["id", "lang", *names, "log_perplexity"])
+            score = [float(-model.value.log_probs(grams(t)).mean(dtype=np.float64)) if t else None for t in texts]
+            yield pa.record_batch([b.column(0), *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], pa.array(score, pa.float64())], ["row", *NAMES, "log_perplexity"])
 
-    scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, lang string, {', '.join(f'{n} long' for n in names)}, log_perplexity double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    scored = rows.mapInArrow(run, f"row {kind}, {', '.join(f'{n} long' for n in NAMES)}, log_perplexity double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = C.staged(scored.withColumn("base_failed", failed), "scored")
-    key = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("key")
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"row.`{lang_col}`").cast("string")), F.lit("")).alias("key")
     q = scored.filter("not base_failed and log_perplexity is not null").groupBy(key).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
     bands = q.select("key", (low - width * (high - low)).alias("band_low"), (high + width * (high - low)).alias("band_high"))
-    out = scored.withColumn("key", key).join(bands, "key", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
-    return out.select(F.col("id").alias(id_col), *names, "base_failed", "log_perplexity", "band_low", "band_high", kept.alias("kept"))
+    return scored.withColumn("key", key).join(bands, "key", "left").withColumn("kept", kept).drop("key")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality(C.documents(spark, sf_dir))
+    rows = judged(C.documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return rows.select("row.doc_id", *NAMES, "base_failed", "log_perplexity", "band_low", "band_high", "kept")
