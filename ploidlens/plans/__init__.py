@@ -1,0 +1,4 @@
+"""Registered queries over the driver tables, and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
