@@ -102,7 +102,7 @@ def base_places(docs: DataFrame) -> DataFrame:
     """Of rows (key, low) with a base phrase: key, n_base, first_word, last_word, b (labels)."""
     rare = [max(p.split(), key=len) for p in PHRASES]
     rows = docs.filter(" or ".join(f"contains(low, '{x}')" for x in dict.fromkeys(rare)))
-    rows = rows.select("key", F.filter(F.split("low", BREAK), lambda x: x != "").alias("w"))
+    rows = rows.select("key", F.explode(F.array(F.filter(F.split("low", BREAK), lambda x: x != ""))).alias("w"))  # one row each; it keeps the words from being computed anew for each place
     rows = rows.select("key", F.array(*[_places(F.col("w"), p) for p in PHRASES]).alias("found")).withColumn("flat", F.flatten("found")).filter("size(flat) > 0").dropDuplicates(["key"])
     names = F.array(*[F.when(F.size(F.col("found")[k]) > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])
     return rows.select("key", F.size("flat").cast("long").alias("n_base"), F.array_min("flat").cast("long").alias("first_word"), F.array_max("flat").cast("long").alias("last_word"), F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))).alias("b"))
