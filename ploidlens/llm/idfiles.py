@@ -90,14 +90,16 @@ class Model:
             self._refresh()
 
 
-def _shift(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None):
-    """The lanes whose top 16 bits are settled (or whose range is too small, which settles them)."""
-    settled = (low ^ (low + size)) < TOP
-    small = ~settled & (size <= LOW)
+def _shift(low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> np.ndarray:
+    """Of all lanes, or those given, the ones whose top 16 bits are settled (or whose range is too small, which settles them)."""
+    a, b = (low, size) if lanes is None else (low[lanes], size[lanes])
+    settled = (a ^ (a + b)) < TOP
+    small = ~settled & (b <= LOW)
     if small.any():
-        size[small] = (~low[small] + U64(1)) & LOW
+        k = np.flatnonzero(small) if lanes is None else lanes[small]
+        size[k] = (~low[k] + U64(1)) & LOW
         settled |= small
-    return np.flatnonzero(settled)
+    return np.flatnonzero(settled) if lanes is None else lanes[settled]
 
 
 def encode(ids: np.ndarray, symbols: int) -> bytes:
@@ -121,11 +123,13 @@ def encode(ids: np.ndarray, symbols: int) -> bytes:
         size //= U64(SCALE * m.total)
         low += cum.astype(U64) * size
         size *= frq.astype(U64)
-        while len(k := _shift(low, size)):
+        k = _shift(low, size)
+        while len(k):
             out[k, used[k]] = low[k] >> U64(48)
             used[k] += 1
             low[k] <<= U64(16)
             size[k] <<= U64(16)
+            k = _shift(low, size, k)
         m.learn(s, hit2, hit1)
     for _ in range(4):
         out[np.arange(lanes), used] = low >> U64(48)
@@ -155,18 +159,20 @@ def decode(data: bytes, n: int, symbols: int) -> np.ndarray:
         hit2 = part < a
         hit1 = (part < a + b) & ~hit2
         rest = SCALE - a - b
-        s = np.searchsorted(m.cum, np.maximum(at0 - (a + b) * m.total, 0) // rest, "right") - 1
+        s = np.searchsorted(m.cum, np.floor(np.maximum(at0 - (a + b) * m.total, 0) / rest).astype(np.int64), "right") - 1
         s = np.where(hit2, m.g2, np.where(hit1, m.g1, s))
         hit0 = ~(hit2 | hit1)
         cum = np.where(hit0, (a + b) * m.total + rest * m.cum[s], np.where(hit1, a * m.total, 0))
         frq = np.where(hit0, rest * m.freq[s], np.where(hit1, b * m.total, a * m.total))
         low += cum.astype(U64) * size
         size *= frq.astype(U64)
-        while len(k := _shift(low, size)):
+        k = _shift(low, size)
+        while len(k):
             code[k] = (code[k] << U64(16)) | units[np.minimum(at[k], len(units) - 1)]
             at[k] += 1
             low[k] <<= U64(16)
             size[k] <<= U64(16)
+            k = _shift(low, size, k)
         x[t] = s
         m.learn(s, hit2, hit1)
     return x.T.reshape(-1)[:n].astype(np.uint32)
@@ -206,10 +212,10 @@ def _write(tokenizer: str, end_id: int):
 
         for b in batches:
             texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                ids, sizes = enc.ids(texts[lo : lo + 500])
+            for lo in range(0, len(texts), 2000):
+                ids, sizes = enc.ids(texts[lo : lo + 2000])
                 ids = np.insert(ids, np.cumsum(sizes), end_id)
-                col = b.column(0).slice(lo, 500)
+                col = b.column(0).slice(lo, 2000)
                 held.append((col.fill_null(0).to_numpy(), np.asarray(col.is_null()), sizes + 1, ids))
                 n += len(ids)
                 if n >= BLOCK:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ PIECES = {
     "word": re.compile(f"{SHORT}|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
 }
 #: Pieces that a worker keeps; beyond, it starts anew.
-KEEP = 400_000
+KEEP = 1_000_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -98,15 +99,14 @@ class Encoder:
         flat = np.empty(len(pieces), object)
         flat[:] = pieces
         codes, uniq = pd.factorize(flat)
-        known, run, chars, row = self.known, self.tok.model.tokenize, self.chars, np.empty(len(uniq), np.int64)
-        for k, p in enumerate(uniq):
-            r = known.get(p)
-            if r is None:
-                r = known[p] = len(known)
-                got = [t.id for t in run(p.encode().decode("latin-1").translate(chars))]
-                self.flat.extend(got)
-                self.size.append(len(got))
-            row[k] = r
+        known, run, chars = self.known, self.tok.model.tokenize, self.chars
+        row = np.fromiter(map(known.get, uniq, repeat(-1)), np.int64, len(uniq))
+        new = np.flatnonzero(row < 0)
+        for k, p in zip(new.tolist(), uniq[new]):
+            row[k] = known[p] = len(known)
+            got = [t.id for t in run(p.encode().decode("latin-1").translate(chars))]
+            self.flat.extend(got)
+            self.size.append(len(got))
         size = np.frombuffer(self.size, np.uint32).astype(np.int64)
         start = np.cumsum(size) - size
         row = row[codes]
