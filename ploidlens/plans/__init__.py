@@ -1,4 +1,257 @@
-"""Registered queries over the driver tables, and their SQL."""
+"""Registered queries over the driver tables, and their SQL. Texts, projected to four letters, stand for reads; sources for samples."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ploidlens.functions import align, codec, logic
+from ploidlens.operators import gwas, intervals, kmers
+
+LETTERS, AS = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+K = 7
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def reads(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").filter("text is not null")
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS)
+    parts = spark.sparkContext.defaultParallelism
+    return docs.select(F.col("doc_id").alias("read_id"), F.col("source").alias("sample"), "text", "n_chars").repartition(max(parts, docs.rdd.getNumPartitions()), "read_id").select("read_id", "sample", seq.alias("seq"), "n_chars")
+
+
+SEQ = f"SELECT doc_id AS read_id, source AS sample, n_chars, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS}') AS seq FROM documents WHERE text IS NOT NULL"
+
+
+def _canon(x: str) -> str:
+    return f"least({x}, reverse(translate({x}, 'ACGT', 'TGCA')))"
+
+
+def _ctes(k: int = K) -> str:
+    return f"""r AS ({SEQ}), w AS (SELECT read_id, sample, substr(seq, CAST(i AS INT), {k}) AS raw FROM (SELECT read_id, sample, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM r)),
+c AS (SELECT sample, kmer, CAST(sum(n) AS BIGINT) AS cnt FROM (SELECT sample, raw, {_canon('raw')} AS kmer, count(*) AS n FROM w GROUP BY ALL) GROUP BY ALL)"""
+
+
+def kmer_count(spark, d):
+    return kmers.count(reads(spark, d), K)
+
+
+def kmer_dump(spark, d):
+    return kmers.dump(kmer_count(spark, d), 5, 1000)
+
+
+def kmer_matrix(spark, d):
+    return kmers.matrix(kmer_count(spark, d), 5, 1000, 10)
+
+
+def kmer_matrix_all(spark, d):
+    return kmers.matrix(kmer_count(spark, d)).groupBy("n_samples").agg(F.count("*").alias("n_cells"), F.sum("cnt").cast("long").alias("total"))
+
+
+def kmer_filter_dosage(spark, d):
+    r = reads(spark, d)
+    depth = r.groupBy("sample").agg((F.sum("n_chars") / 1000.0).alias("depth"))
+    return kmers.filter_dosage(kmers.matrix(kmers.count(r, K)), depth, 20, 1000, 0.8, 4)
+
+
+def _embed(spark, d):
+    """Embeddings as a tidy dosage matrix: 64 markers, a sample each row, and the label as trait."""
+    e = _read(spark, d, "embeddings")
+    tidy = e.select(F.col("vec_id").alias("sample"), F.posexplode("embedding").alias("m", "v")).select("sample", F.col("m").cast("string").alias("kmer"), F.col("v").cast("double").alias("dosage"))
+    return tidy, e.select(F.col("vec_id").alias("sample"), F.col("label").cast("double").alias("trait"))
+
+
+def assoc_ols(spark, d):
+    x = gwas.ols(*_embed(spark, d))
+    return x.select("kmer", F.col("n").cast("long").alias("n"), F.round("beta", 8).alias("beta"), F.round("r2", 8).alias("r2"))
+
+
+def bimbam_rows(spark, d):
+    tidy, _ = _embed(spark, d)
+    few = tidy.filter("sample < 50").withColumn("dosage", F.round("dosage", 4))
+    rows = kmers.bimbam(few.select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in range(50)])
+    return rows.select("kmer", "allele1", "allele0", F.size("dosage").cast("long").alias("n"), F.round(F.aggregate("dosage", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def kinship_entries(spark, d):
+    """Entries of the centred relatedness matrix of the first 40 vectors."""
+    tidy, _ = _embed(spark, d)
+    rows = kmers.bimbam(tidy.filter("sample < 40").select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in range(40)])
+    k = gwas.kinship(rows, 40)
+    return spark.createDataFrame([(i, j, round(float(k[i, j]), 7) + 0.0) for i in range(40) for j in range(40)], "i long, j long, k double")
+
+
+def assoc_lmm(spark, d):
+    """The mixed model over the embeddings' markers of the first 60 vectors."""
+    import numpy as np
+
+    tidy, pheno = _embed(spark, d)
+    rows = kmers.bimbam(tidy.filter("sample < 60").select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in range(60)])
+    trait = np.array([r["trait"] for r in pheno.filter("sample < 60").orderBy("sample").collect()])
+    k = gwas.kinship(rows, 60)
+    return gwas.lmm(rows, trait, gwas.principal_components(k), k)
+
+
+def bh_threshold(spark, d):
+    o = _read(spark, d, "orders")
+    top = o.agg(F.max("o_totalprice").alias("top"))
+    p = o.crossJoin(F.broadcast(top)).select(F.pow(F.col("o_totalprice") / F.col("top"), 6).alias("p_wald"))  # one row
+    x = gwas.thresholds(p)
+    return x.select("n", F.round("bh_cutoff", 8).alias("bh_cutoff"), F.round("bf_cutoff", 8).alias("bf_cutoff"))
+
+
+def sketch(spark, d):
+    return kmers.sketch(kmer_count(spark, d).select("kmer").distinct(), 500, 1)
+
+
+def sketch_per_chunk(spark, d):
+    c = kmer_count(spark, d)
+    return kmers.sketch(c.select(F.col("sample").alias("chunk"), "kmer"), 20, 1, "chunk")
+
+
+def _rare(spark, d):
+    """9-mers that are in two or three reads, with a p made of their letters."""
+    r = reads(spark, d).withColumn("seq", F.substring("seq", 1, 400))
+    hits = kmers.read_kmers(r, 9, keep=["read_id"]).distinct().groupBy("kmer").agg(F.count("*").alias("n")).filter("n between 2 and 3")
+    return r, hits.select("kmer", (F.lit(1.0) / (F.coalesce(codec.encode(F.col("kmer")), F.lit(0)) + 2)).alias("p"))
+
+
+RARE = f"""WITH r AS (SELECT read_id, sample, substr(seq, 1, 400) AS seq FROM ({SEQ})),
+w AS (SELECT DISTINCT read_id, {_canon('raw')} AS kmer FROM (SELECT read_id, substr(seq, CAST(i AS INT), 9) AS raw FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 7)) AS i FROM r))),
+k AS (SELECT kmer, 1.0::DOUBLE / (list_sum(list_transform(range(1, 10), lambda i: (instr('ACGT', substr(kmer, CAST(i AS INT), 1)) - 1) * CAST(pow(4, 9 - i) AS BIGINT))) + 2) AS p FROM w GROUP BY kmer HAVING count(*) BETWEEN 2 AND 3),
+h AS (SELECT read_id, min(p) AS p, count(*) AS n_kmers FROM w JOIN k USING (kmer) GROUP BY read_id)"""
+
+
+def fetch_reads(spark, d):
+    r, k = _rare(spark, d)
+    return kmers.fetch_reads(r, k, 9).select("read_id", F.round("p", 12).alias("p"), "n_kmers")
+
+
+def add_pvalue(spark, d):
+    r, k = _rare(spark, d)
+    return kmers.add_pvalue(r, k, 9).select("read_id", F.round("p", 12).alias("p"))
+
+
+def retrieve(spark, d):
+    c = kmer_count(spark, d)
+    return kmers.retrieve(c, c.filter("cnt >= 200"))
+
+
+def codec_roundtrip(spark, d):
+    k = kmer_count(spark, d).select("kmer").distinct()
+    code = codec.encode(F.col("kmer"))
+    return k.select("kmer", code.alias("code"), codec.decode(code, K).alias("back"), codec.reverse_complement(F.col("kmer")).alias("rc"))
+
+
+def first_hit(spark, d):
+    e = _read(spark, d, "events")
+    return gwas.first_hits(e.withColumn("q", F.concat_ws("/", "user_id", "event_type")), "q", ["ts", "event_id"]).select("q", "event_id", F.col("user_id"), "event_type")
+
+
+def manhattan(spark, d):
+    e = _read(spark, d, "lineitem").filter("l_linenumber = 1")
+    points = e.select(F.col("l_orderkey").alias("snp"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 7).cast("string")).alias("chr"), F.col("l_partkey").alias("pos"), (F.lit(1.0) / (F.col("l_quantity") + 1)).alias("p"))
+    return gwas.manhattan(points).select("snp", "chr", "pos", "x", F.round("y", 8).alias("y"))
+
+
+def _intervals(spark, d):
+    a = _read(spark, d, "orders").select((F.col("o_orderkey") % 10).alias("chrom"), (F.col("o_orderkey") % 5000).alias("beg"), (F.col("o_orderkey") % 5000 + 20).alias("end"), F.col("o_orderkey").alias("id"))
+    b = _read(spark, d, "events").select((F.col("event_id") % 10).alias("chrom"), (F.col("event_id") * 7 % 5000).alias("beg"), (F.col("event_id") * 7 % 5000 + 10).alias("end"), F.col("event_id").alias("id"))
+    return a, b.filter("id % 10 = 3 and id % 7 = 1")
+
+
+INTERVALS = "WITH a AS (SELECT o_orderkey % 10 AS chrom, o_orderkey % 5000 AS beg, o_orderkey % 5000 + 20 AS e, o_orderkey AS id FROM orders), b AS (SELECT event_id % 10 AS chrom, event_id * 7 % 5000 AS beg, event_id * 7 % 5000 + 10 AS e, event_id AS id FROM events WHERE event_id % 10 = 3 AND event_id % 7 = 1)"
+
+
+def interval_overlap(spark, d):
+    a, b = _intervals(spark, d)
+    return intervals.overlap(a, b, width=64).select("id", "b_id")
+
+
+def interval_semi(spark, d):
+    a, b = _intervals(spark, d)
+    return intervals.overlap(a, b, "left_semi", 64).select("id")
+
+
+def interval_anti(spark, d):
+    a, b = _intervals(spark, d)
+    return intervals.overlap(a, b, "left_anti", 64).select("id")
+
+
+def sample_discovery(spark, d):
+    host = F.regexp_extract("url", "^https?://([^/]+)/", 1)
+    return _read(spark, d, "pages").select(host.alias("sample")).distinct()
+
+
+def flags(spark, d):
+    f = (F.col("event_id") % 4096).cast("int")
+    e = _read(spark, d, "events")
+    return e.select("event_id", align.has_flag(f, "UNMAP").alias("unmapped"), (align.has_flag(f, "READ1") & ~align.has_flag(f, "DUP")).alias("first"), F.bit_count(f).cast("long").alias("bits"))
+
+
+def cigar_lengths(spark, d):
+    lines = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat((F.col("l_quantity").cast("int")).cast("string"), F.lit("M"), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "A", "I").when(F.col("l_returnflag") == "N", "D").otherwise("S")).alias("cigar"))
+    return lines.select("l_orderkey", "l_linenumber", align.query_length(F.col("cigar")).alias("q"), align.reference_length(F.col("cigar")).alias("r"), align.end_position(F.col("l_orderkey"), F.lit(0), F.col("cigar")).alias("endpos"))
+
+
+def bins(spark, d):
+    o = _read(spark, d, "orders")
+    beg = F.col("o_orderkey") * 1009 % 100_000_000
+    return o.select("o_orderkey", align.bin_number(beg, beg + F.col("o_custkey") + 1).alias("bin"))
+
+
+def _bin_sql() -> str:
+    out = "0"
+    for level in range(1, 6):
+        s = 14 + 3 * (5 - level)
+        out = f"CASE WHEN beg >> {s} = (e - 1) >> {s} THEN {((1 << 3 * level) - 1) // 7} + (beg >> {s}) ELSE {out} END"
+    return out
+
+
+def variant_sync(spark, d):
+    a = _read(spark, d, "orders").select(F.lit("1").alias("chrom"), F.datediff("o_orderdate", F.lit("1990-01-01")).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("T").alias("alt"))
+    b = _read(spark, d, "lineitem").select(F.lit("1").alias("chrom"), F.datediff("l_shipdate", F.lit("1990-01-01")).cast("long").alias("pos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
+    return intervals.sync_variants([a, b])
+
+
+def three_state(spark, d):
+    """Filter logic on values of which some are unknown."""
+    e = _read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v"))
+    small = logic.compare(F.col("v"), "<", F.lit(50.0))
+    return e.select("event_id", small.alias("small"), logic.negate(small).alias("not_small"), logic.either(F.col("v") > 50.0, F.lit(True)).alias("any"))
+
+
+QUERIES = {f.__name__: f for f in (kmer_count, kmer_dump, kmer_matrix, kmer_matrix_all, kmer_filter_dosage, assoc_ols, assoc_lmm, bimbam_rows, kinship_entries, bh_threshold, sketch, sketch_per_chunk, fetch_reads, add_pvalue, retrieve, codec_roundtrip, first_hit, manhattan, interval_overlap, interval_semi, interval_anti, sample_discovery, flags, cigar_lengths, bins, variant_sync, three_state)}
+
+EMBED = "t AS (SELECT vec_id AS sample, label, unnest(range(0, 64)) AS m, CAST(unnest(embedding) AS DOUBLE) AS dosage FROM embeddings)"
+ORACLE_SQL = {
+    "kmer_count": f"WITH {_ctes()} SELECT * FROM c",
+    "kmer_dump": f"WITH {_ctes()} SELECT * FROM c WHERE cnt BETWEEN 5 AND 1000",
+    "kmer_matrix": f"WITH {_ctes()}, f AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS n_samples FROM c WHERE cnt BETWEEN 5 AND 1000) SELECT kmer, sample, cnt, n_samples FROM f WHERE n_samples >= 10",
+    "kmer_matrix_all": f"WITH {_ctes()}, f AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS n_samples FROM c) SELECT n_samples, count(*) AS n_cells, CAST(sum(cnt) AS BIGINT) AS total FROM f GROUP BY 1",
+    "kmer_filter_dosage": f"WITH {_ctes()}, q AS (SELECT sample, sum(n_chars) / 1000.0::DOUBLE AS depth FROM r GROUP BY 1), f AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS present FROM c WHERE cnt <= 1000) SELECT kmer, sample, cnt, least(4.0::DOUBLE, round(cnt * 4 / depth)) AS dosage FROM f JOIN q USING (sample) WHERE 1 - present / 20.0::DOUBLE <= 0.8",
+    "assoc_ols": f"WITH {EMBED} SELECT CAST(m AS VARCHAR) AS kmer, CAST(regr_count(label, dosage) AS BIGINT) AS n, round(regr_slope(label, dosage), 8) AS beta, round(regr_r2(label, dosage), 8) AS r2 FROM t GROUP BY m",
+    "bimbam_rows": f"WITH {EMBED} SELECT CAST(m AS VARCHAR) AS kmer, 'A' AS allele1, 'T' AS allele0, 50::BIGINT AS n, round(sum(round(dosage, 4)), 4) AS total FROM t WHERE sample < 50 GROUP BY m",
+    "kinship_entries": f"WITH {EMBED}, x AS (SELECT sample, m, dosage - avg(dosage) OVER (PARTITION BY m) AS v FROM t WHERE sample < 40) SELECT a.sample AS i, b.sample AS j, round(sum(a.v * b.v) / 64, 7) + 0.0 AS k FROM x a JOIN x b USING (m) GROUP BY 1, 2",
+    "bh_threshold": "WITH p AS (SELECT pow(o_totalprice / (SELECT max(o_totalprice) FROM orders), 6) AS p FROM orders), v AS (SELECT p FROM p WHERE p > 0 AND p <= 1), n AS (SELECT count(*) AS n FROM v), r AS (SELECT p, n, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank FROM v, n) SELECT max(n)::BIGINT AS n, round(-log10(max(CASE WHEN p * n / rank < 0.05 THEN p END)), 8) AS bh_cutoff, round(-log10(0.05 / max(n)), 8) AS bf_cutoff FROM r",
+    "sketch": f"WITH {_ctes()} SELECT kmer FROM (SELECT DISTINCT kmer FROM c) ORDER BY md5(kmer || ':1'), kmer LIMIT 500",
+    "sketch_per_chunk": f"WITH {_ctes()} SELECT sample AS chunk, kmer FROM c QUALIFY row_number() OVER (PARTITION BY sample ORDER BY md5(kmer || ':1'), kmer) <= 20",
+    "fetch_reads": f"{RARE} SELECT read_id, round(p, 12) AS p, n_kmers FROM h",
+    "add_pvalue": f"{RARE} SELECT r.read_id, round(h.p, 12) AS p FROM r LEFT JOIN h USING (read_id)",
+    "retrieve": f"WITH {_ctes()} SELECT * FROM c WHERE kmer IN (SELECT kmer FROM c WHERE cnt >= 200)",
+    "codec_roundtrip": f"WITH {_ctes()} SELECT kmer, list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('ACGT', substr(kmer, CAST(i AS INT), 1)) - 1) * CAST(pow(4, {K} - i) AS BIGINT)))::BIGINT AS code, kmer AS back, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM (SELECT DISTINCT kmer FROM c)",
+    "first_hit": "SELECT user_id || '/' || event_type AS q, event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
+    "manhattan": "WITH e AS (SELECT l_orderkey AS snp, 'chr' || (l_suppkey % 7) AS chr, l_partkey AS pos, 1.0::DOUBLE / (l_quantity + 1) AS p FROM lineitem WHERE l_linenumber = 1), t AS (SELECT chr, max(pos) AS top FROM e GROUP BY 1), o AS (SELECT chr, coalesce(sum(top) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM t) SELECT snp, chr, pos, CAST(pos + off AS BIGINT) AS x, round(-log10(p), 8) AS y FROM e JOIN o USING (chr)",
+    "interval_overlap": f"{INTERVALS} SELECT a.id, b.id AS b_id FROM a JOIN b ON a.chrom = b.chrom AND a.beg < b.e AND b.beg < a.e",
+    "interval_semi": f"{INTERVALS} SELECT a.id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.beg < b.e AND b.beg < a.e)",
+    "interval_anti": f"{INTERVALS} SELECT a.id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.beg < b.e AND b.beg < a.e)",
+    "sample_discovery": "SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)/', 1) AS sample FROM pages",
+    "flags": "SELECT event_id, (event_id % 4096) & 4 <> 0 AS unmapped, ((event_id % 4096) & 64 <> 0) AND ((event_id % 4096) & 1024 = 0) AS first, CAST(bit_count(CAST(event_id % 4096 AS INT)) AS BIGINT) AS bits FROM events",
+    "cigar_lengths": "WITH x AS (SELECT *, CAST(l_quantity AS INT) AS n FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(n + CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber END AS BIGINT) AS q, CAST(n + CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END AS BIGINT) AS r, CAST(l_orderkey + n + CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END AS BIGINT) AS endpos FROM x",
+    "bins": f"SELECT o_orderkey, CAST({_bin_sql()} AS BIGINT) AS bin FROM (SELECT o_orderkey, o_orderkey * 1009 % 100000000 AS beg, o_orderkey * 1009 % 100000000 + o_custkey + 1 AS e FROM orders)",
+    "variant_sync": "WITH a AS (SELECT DISTINCT date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS pos FROM orders), b AS (SELECT DISTINCT date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS pos FROM lineitem) SELECT '1' AS chrom, coalesce(a.pos, b.pos) AS pos, CAST((a.pos IS NOT NULL)::INT + (b.pos IS NOT NULL)::INT AS BIGINT) AS n_readers, CASE WHEN b.pos IS NULL THEN '0' WHEN a.pos IS NULL THEN '1' ELSE '0,1' END AS readers FROM a FULL JOIN b ON a.pos = b.pos",
+    "three_state": "SELECT event_id, coalesce(v < 50, false) AS small, NOT coalesce(v < 50, false) AS not_small, true AS any FROM (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events)",
+}

@@ -1,0 +1,161 @@
+"""Readers with fixed schemas, and writers. Paths are Hadoop URIs; gzip, bzip2 and zstd are read by Spark's codecs."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+READ = "file string, name string, comment string, seq string, qual string"
+SAM_FIELDS = ("qname", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "isize", "seq", "qual")
+SAMPLE_FILE = r"(?i)^(.*?)(?:_R?[12])?\.(?:fastq|fq)(?:\.gz)?$"
+
+
+def parse_reads(lines):
+    """FASTA and FASTQ records of lines: name to the first space, comment, sequence over several lines, quality until it is as long."""
+    name = comment = None
+    seq, qual, state = [], [], "seq"
+    for line in lines:
+        line = line.rstrip("\r\n")
+        if state == "qual" and sum(map(len, qual)) < sum(map(len, seq)):
+            qual.append(line)
+            continue
+        if line[:1] in (">", "@"):
+            if name is not None:
+                yield name, comment, "".join(seq), "".join(qual) if state == "qual" else None
+            name, _, comment = line[1:].partition(" ")
+            comment, seq, qual, state = comment or None, [], [], "seq"
+        elif line[:1] == "+" and name is not None and state == "seq":
+            state = "qual"
+        elif name is not None and state == "seq":
+            seq.append(line.strip())
+    if name is not None:
+        if state == "qual" and sum(map(len, qual)) != sum(map(len, seq)):
+            raise ValueError(f"quality of {name} isn't as long as its sequence")
+        yield name, comment, "".join(seq), "".join(qual) if state == "qual" else None
+
+
+def reads(spark: SparkSession, path: str) -> DataFrame:
+    """Reads of FASTA or FASTQ files. A file is one record stream, so one task; repartition afterwards."""
+    import pandas as pd
+
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches):
+        for b in batches:
+            for f, v in zip(b["file"], b["value"]):
+                rows = [(f, *r) for r in parse_reads(v.split("\n"))]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["file", "name", "comment", "seq", "qual"])
+
+    return whole.mapInPandas(run, READ)
+
+
+def with_sample(df: DataFrame, file: str = "file") -> DataFrame:
+    """Adds the sample that a file's name tells."""
+    return df.withColumn("sample", F.regexp_extract(F.element_at(F.split(F.col(file), "/"), -1), SAMPLE_FILE, 1))
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    df.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual")).write.text(path)
+
+
+def table(spark: SparkSession, path: str, schema: str, sep: str = "\t", header: bool = False) -> DataFrame:
+    """A delimited table without guessing its schema (counts, depth, phenotypes, results, plot tables)."""
+    return spark.read.csv(path, schema=schema, sep=sep, header=header)
+
+
+def counts(spark, path):
+    return table(spark, path, "kmer string, cnt long")
+
+
+def depth(spark, path):
+    return table(spark, path, "sample string, depth double")
+
+
+def sample_list(spark, path):
+    return spark.read.text(path).select(F.trim("value").alias("sample")).filter("sample <> ''").distinct()
+
+
+def phenotypes(spark, path, column: int = 1):
+    """Sample and the column-th trait of a table separated by white space."""
+    parts = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.get(parts, F.lit(0)).alias("sample"), F.get(parts, F.lit(column)).try_cast("double").alias("trait"))
+
+
+def bimbam(spark, path):
+    parts = F.split("value", r"\s*,\s*")
+    return spark.read.text(path).filter("trim(value) <> ''").select(F.get(parts, F.lit(0)).alias("kmer"), F.get(parts, F.lit(1)).alias("allele1"), F.get(parts, F.lit(2)).alias("allele0"), F.transform(F.slice(parts, 4, F.size(parts)), lambda x: x.cast("double")).alias("dosage"))
+
+
+def association(spark, path):
+    from ploidlens.operators.gwas import RESULT
+
+    return table(spark, path, RESULT, header=True)
+
+
+def regions(lines: DataFrame, form: str) -> DataFrame:
+    """chrom, beg, end (0-based half-open) of lines (value): bed, tab (1-based, inclusive), reg (CHR:FROM-TO), vcf."""
+    from ploidlens.functions.align import parse_region
+
+    rows = lines.filter("value <> '' and not value like '#%'")
+    if form == "reg":
+        return rows.select(parse_region(F.trim("value"), True).alias("r")).select("r.*")
+    p = F.split("value", r"\s+")
+    at = lambda k: F.get(p, F.lit(k))
+    n = lambda k: at(k).cast("long")
+    if form == "bed":
+        beg, end = n(1), n(2)
+    elif form == "tab":
+        beg, end = n(1) - 1, F.coalesce(n(2), n(1))
+    elif form == "vcf":
+        beg, end = n(1) - 1, n(1) - 1 + F.length(at(3))
+    else:
+        raise ValueError(f"unknown form {form}")
+    return rows.select(at(0).alias("chrom"), beg.alias("beg"), end.alias("end"))
+
+
+def sam(lines: DataFrame) -> DataFrame:
+    """Alignments of SAM lines (value): the fixed fields (pos 0-based) and aux, a map of tags."""
+    from ploidlens.functions.align import aux_tags
+
+    p = F.split("value", "\t")
+    at = lambda k: F.get(p, F.lit(k))
+    kinds = {"flag": "int", "mapq": "int", "isize": "long"}
+    cols = [(at(k).cast("long") - 1).alias(n) if n in ("pos", "mate_pos") else at(k).cast(kinds.get(n, "string")).alias(n) for k, n in enumerate(SAM_FIELDS)]
+    return lines.filter("value <> '' and not value like '@%'").select(*cols, aux_tags(F.slice(p, 12, F.greatest(F.size(p) - 11, F.lit(0)))).alias("aux"))
+
+
+def sam_lines(df: DataFrame) -> DataFrame:
+    tags = F.transform(F.map_entries("aux"), lambda e: F.concat_ws(":", e.key, e.value.type, e.value.value))
+    cols = [(F.col(c) + 1).cast("string") if c in ("pos", "mate_pos") else F.col(c).cast("string") for c in SAM_FIELDS]
+    return df.select(F.concat_ws("\t", *cols, F.array_join(F.array_sort(tags), "\t")).alias("value")).select(F.rtrim("value").alias("value"))
+
+
+def header(lines: DataFrame) -> DataFrame:
+    """Header lines of SAM text as type and tags; find, remove and update are filters, anti joins and map functions."""
+    p = F.split(F.substr("value", F.lit(2)), "\t")
+    tags = F.map_from_entries(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2), F.substr(x, F.lit(4)))))
+    return lines.filter("value like '@%' and not value like '@CO%'").select(F.get(p, F.lit(0)).alias("type"), tags.alias("tags"))
+
+
+def vcf(lines: DataFrame) -> DataFrame:
+    """Sites of VCF lines: chrom, pos (0-based), id, ref, alt, filter."""
+    p = F.split("value", "\t")
+    at = lambda k: F.get(p, F.lit(k))
+    return lines.filter("value <> '' and not value like '#%'").select(at(0).alias("chrom"), (at(1).cast("long") - 1).alias("pos"), at(2).alias("id"), at(3).alias("ref"), F.split(at(4), ",").alias("alt"), F.split(at(6), ";").alias("filter"))
+
+
+FORMATS = {"fasta": ("fa", "fasta", "fna"), "fastq": ("fq", "fastq"), "sam": ("sam",), "bed": ("bed",), "vcf": ("vcf",), "bimbam": ("bimbam",)}
+UNSUPPORTED = ("bam", "cram", "bcf", "bai", "crai", "csi", "tbi", "gzi", "fai", "d4", "crypt4gh")
+
+
+def detect(path: str) -> str:
+    """The format of a path by its extension; formats that aren't read raise ValueError."""
+    m = re.search(r"\.([a-z0-9]+)(?:\.(?:gz|bgz|bz2|zst|xz))?$", path.lower())
+    ext = m[1] if m else ""
+    for f, names in FORMATS.items():
+        if ext in names:
+            return f
+    raise ValueError(f"{ext or path}: {'not supported' if ext in UNSUPPORTED else 'unknown format'}")
