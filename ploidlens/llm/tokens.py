@@ -80,8 +80,8 @@ class Encoder:
                 whole.append(k)
                 counts.append(0)
         flat, lens = self._pieces(pieces)
-        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
-        at = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)]).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int64)
         n = ends[at[1:]] - ends[at[:-1]]
         if not whole:
             return flat, n
