@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ploidlens.llm import common as C
 
 U64 = np.uint64
-#: Classes and shingles in a sub-block: 16 MB of hashes, and at most 2 * ROWS rows in a product.
-ROWS, SHINGLES = 1024, 1_500_000
+#: Classes and shingles in a sub-block: 24 MB of hashes. A sub-block is sent once for each other of its cluster, so they are few.
+ROWS, SHINGLES = 6000, 3_000_000
 #: Columns with at most so many rows are multiplied pair by pair, others in dense strips.
 SPARSE = 12
 SIGNATURES = 1_000_000
@@ -74,7 +74,10 @@ class Ranges:
         while low <= n * self.den // self.num + 1:
             high = low + self.step(low) - 1
             h = 2 * high * (self.den - self.num) // (self.den + self.num)
-            s = math.ceil(2 * (h + 1) * math.exp(-low / (h + 1))) if h >= 8 else 0
+            s = 0
+            for _ in range(8 if h >= 8 else 0):  # more than the empty parts that the smallest sets cut so are likely to have
+                empty = (h + 1 + s) * math.exp(-low * self.num / self.den / (h + 1 + s))
+                s = math.ceil(empty + 2.5 * math.sqrt(empty))
             self.lows.append(low)
             self.parts.append(h + 1 + s)
             self.slack.append(s)
@@ -124,55 +127,55 @@ def signatures(x: np.ndarray, ranges: Ranges) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def _features(n: int, num: int, den: int, sigs: bool):
+def _features(n: int, num: int = 1, den: int = 1, sigs: bool = False, sets_too: bool = False):
     def run(batches):
         ranges = Ranges(num, den)
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist(), n)
             node = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
-            node = pa.array([v - (v >> 63 << 64) if len(x) else None for v, x in zip(node, sets)], pa.int64())
-            size = pa.array([len(x) for x in sets], pa.int64())
+            node = [v - (v >> 63 << 64) if len(x) else None for v, x in zip(node, sets)]
             if sigs:
-                found = [signatures(x, ranges).view(np.int64) if len(x) else C.NO_EDGE[:, 0] for x in sets]
-                at = pa.array(np.cumsum([0] + [len(f) for f in found]), pa.int32())
-                last = pa.ListArray.from_arrays(at, pa.array(np.concatenate(found) if found else C.NO_EDGE[:, 0]))
+                yield [(v, signatures(x, ranges).view(np.int64)) for v, x in zip(node, sets) if len(x)]
+                continue
+            size = pa.array([len(x) for x in sets], pa.int64())
+            cols = [b.column(0), size, pa.array(node, pa.int64())]
+            if sets_too:
+                yield pa.record_batch([*cols, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "node", "x"])
             else:
-                last = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.record_batch([b.column(0), size, node, last], ["id", "n", "node", "sigs" if sigs else "x"])
+                yield pa.record_batch(cols, ["id", "n", "node"])
 
     return run
 
 
-def _chained(batches):
+def _chained(n: int, num: int, den: int):
     """Within a task: edges between nodes with a signature in common, and one row for each signature."""
-    held, n = [], 0
 
-    def done():
-        s = np.concatenate([x for x, _ in held])
-        v = np.concatenate([y for _, y in held])
+    def done(held):
+        s = np.concatenate([x for _, x in held])
+        v = np.repeat(np.array([y for y, _ in held], np.int64), [len(x) for _, x in held])
         o = np.lexsort((v, s))
         s, v = s[o], v[o]
         same = s[1:] == s[:-1]
         e = np.stack([v[:-1], v[1:]], 1)[same]
         e = C.forest(*e[e[:, 0] != e[:, 1]].T) if len(e) else C.NO_EDGE
-        first = np.concatenate([[True], ~same])
+        first = np.concatenate([np.ones(min(1, len(s)), bool), ~same])
         k = np.concatenate([s[first], e[:, 0]])
         w = np.concatenate([v[first], e[:, 1]])
         kind = np.repeat([False, True], [int(first.sum()), len(e)])
         return pa.record_batch([pa.array(kind), pa.array(k), pa.array(w)], ["edge", "k", "v"])
 
-    for b in batches:
-        s = b.column(1)
-        lens = np.diff(s.offsets.to_numpy())
-        flat = s.flatten().to_numpy()
-        if len(flat):
-            held.append((flat, np.repeat(b.column(0).to_numpy(), lens)))
-            n += len(flat)
-        if n >= SIGNATURES:
-            yield done()
-            held, n = [], 0
-    if n:
-        yield done()
+    def run(batches):
+        held, total = [], 0
+        for found in _features(n, num, den, sigs=True)(batches):
+            held += found
+            total += sum(len(x) for _, x in found)
+            if total >= SIGNATURES:
+                yield done(held)
+                held, total = [], 0
+        if held:
+            yield done(held)
+
+    return run
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -260,10 +263,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     included) and n_links (of the row's class: documents it links with, equal sets included).
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = C.staged(base.mapInArrow(_features(n, num, den, True), "id long, n long, node long, sigs array<long>"), "features")
+    feats = C.staged(base.mapInArrow(_features(n), "id long, n long, node long"), "features")
     nodes = feats.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
     nodes = C.staged(nodes, "nodes")
-    parts = feats.filter("size(sigs) > 0").select("node", "sigs").mapInArrow(_chained, "edge boolean, k long, v long")
+    parts = base.mapInArrow(_chained(n, num, den), "edge boolean, k long, v long")
     lag = F.lag("v").over(Window.partitionBy("edge", "k").orderBy("v"))
     near = parts.select(F.when(F.col("edge"), F.col("k")).otherwise(lag).alias("u"), "v")
     clusters = C.components(near.filter("u is not null and u <> v").distinct())
@@ -290,7 +293,7 @@ def _shingled(n: int):
     """The sets again, of the classes' own rows only; rows of a repeated id with another text go."""
 
     def run(batches):
-        for b in _features(n, 1, 1, False)(_kept(batches, at := [])):
+        for b in _features(n, sets_too=True)(_kept(batches, at := [])):
             s = at.pop(0)
             node = b.column("node").fill_null(0)
             own = s.field(0)
