@@ -39,6 +39,8 @@ ROWS, SHINGLES = 6000, 3_000_000
 #: Columns with at most so many rows are multiplied pair by pair, others in dense strips.
 SPARSE = 12
 SIGNATURES = 1_000_000
+#: Classes and shingles in a sub-block of bitmaps.
+BIT_ROWS, BIT_SHINGLES = 8192, 64_000_000
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -127,6 +129,15 @@ def signatures(x: np.ndarray, ranges: Ranges) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """Parities of the elements that fall on each bit; two or more bits for three elements, at least 64."""
+    if not len(x):
+        return np.zeros(0, U64)
+    size = 1 << max(6, (len(x) - 1).bit_length())
+    odd = np.bincount((C.mix(x) & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
 def _features(n: int, num: int = 1, den: int = 1, sigs: bool = False, sets_too: bool = False):
     def run(batches):
         ranges = Ranges(num, den)
@@ -142,7 +153,7 @@ def _features(n: int, num: int = 1, den: int = 1, sigs: bool = False, sets_too:
             if sets_too:
                 yield pa.record_batch([*cols, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "node", "x"])
             else:
-                yield pa.record_batch(cols, ["id", "n", "node"])
+                yield pa.record_batch([*cols, pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], ["id", "n", "node", "bits"])
 
     return run
 
@@ -178,6 +189,82 @@ def _chained(n: int, num: int, den: int):
     return run
 
 
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, a row each, made shorter: the parity of a sum is the sum of parities."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), 1)
+
+
+def _alike(num: int, den: int):
+    """For each pair of cells: a spanning forest of the pairs that sizes and bitmaps don't rule out."""
+
+    def run(batches):
+        for (_, i, j), t in C.groups_of(batches, ["cl", "si", "sj"]):
+            o = np.lexsort((t.column("node").to_numpy(), t.column("n").to_numpy()))
+            node, n, cell = (t.column(c).to_numpy()[o] for c in ("node", "n", "s"))
+            raw = t.column("bits").to_pylist()
+            words = np.array([len(raw[k]) // 8 for k in o])
+            first = {int(w): np.searchsorted(words, w) for w in np.unique(words)}  # longer bitmaps are of larger sets
+            bits = {w: np.frombuffer(b"".join(raw[k] for k in o[words == w]), U64).reshape(-1, w) for w in first}
+            p, q = np.flatnonzero(cell == i), np.flatnonzero(cell == j)
+            edges, lo = [], 0
+            step = max(64, 1_000_000 // max(1, len(q)))
+            while lo < len(p):  # rows in order of size, all with bitmaps of one length
+                r = p[lo : lo + step]
+                r = r[words[r] == words[r[0]]]
+                lo += len(r)
+                c = q[(n[q] * den >= n[r[0]] * num) & (n[q] * num <= n[r[-1]] * den)]
+                at = int(words[r[0]])
+                for w in map(int, np.unique(words[c])):
+                    d = c[words[c] == w]
+                    least = min(w, at)
+                    a, b = _folded(bits[at][r - first[at]], least), _folded(bits[w][d - first[w]], least)
+                    differ = np.zeros((len(r), len(d)), np.int32)
+                    for k in range(least):
+                        differ += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+                    total = n[r][:, None] + n[d][None, :]
+                    u, v = np.nonzero(differ.astype(np.int64) * (den + num) <= total * (den - num))
+                    u, v = r[u], d[v]
+                    if i == j:
+                        u, v = u[u < v], v[u < v]
+                    if len(u):
+                        edges.append(C.forest(u, v))
+            if edges:
+                e = node[C.forest(*np.concatenate(edges).T)]
+                yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+
+    return run
+
+
+def alike(clusters: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges between the nodes of one cluster that may be linked by size and bitmap.
+
+    A cluster of few nodes is one cell. Others have cells by size, split further by hash: sizes of
+    cells that aren't neighbours differ by more than den/num. A node is sent to its own cell's parts
+    and its neighbours', each pair of parts being a task.
+    """
+    rows = clusters.select("node", F.col("comp").alias("cl")).join(nodes.select("node", "n", "bits"), "node")
+    ratio = math.log(den / num) * 1.0001 + 1e-9
+    rows = rows.withColumn("g", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("long"))
+    cells = rows.groupBy("cl", "g").agg(F.count("*").alias("rows"), F.sum("n").alias("sum"))
+    whole, by = Window.partitionBy("cl"), Window.partitionBy("cl").orderBy("g")
+    few = (F.sum("rows").over(whole) <= BIT_ROWS) & (F.sum("sum").over(whole) <= BIT_SHINGLES)
+    parts = F.greatest(F.ceil(F.col("rows") / BIT_ROWS), F.ceil(F.col("sum") / BIT_SHINGLES)).cast("long")
+    cells = cells.select("cl", "g", few.alias("few"), parts.alias("k"))
+    cells = cells.select("*", *(f("g").over(by).alias(f"g{x}") for f, x in ((F.lag, 0), (F.lead, 1))), *(f("k").over(by).alias(f"k{x}") for f, x in ((F.lag, 0), (F.lead, 1))))
+
+    def tags(g, k):
+        return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda b: F.shiftleft(g, 32) + b)
+
+    none = F.array().cast("array<bigint>")
+    near = [F.when(F.col(f"g{x}") == F.col("g") + d, tags(F.col(f"g{x}"), F.col(f"k{x}"))).otherwise(none) for x, d in ((0, -1), (1, 1))]
+    others = F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(F.concat(tags(F.col("g"), F.col("k")), *near))
+    cells = cells.select("cl", "g", "few", "k", others.alias("others"))
+    own = F.when(F.col("few"), F.lit(0)).otherwise(F.shiftleft("g", 32) + F.pmod(F.xxhash64("node"), F.col("k")))
+    x = rows.join(cells, ["cl", "g"]).select("cl", "node", "n", "bits", own.alias("s"), F.explode("others").alias("o"))
+    x = x.select("cl", F.least("s", "o").alias("si"), F.greatest("s", "o").alias("sj"), "s", "node", "n", "bits")
+    return x.repartition("cl", "si", "sj").sortWithinPartitions("cl", "si", "sj").mapInArrow(_alike(num, den), "u long, v long")
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrices of sets a and b: counts of common elements."""
     out = np.zeros((len(a), len(b)), np.float32)
@@ -263,14 +350,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     included) and n_links (of the row's class: documents it links with, equal sets included).
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = C.staged(base.mapInArrow(_features(n), "id long, n long, node long"), "features")
-    nodes = feats.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    feats = C.staged(base.mapInArrow(_features(n), "id long, n long, node long, bits binary"), "features")
+    nodes = feats.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = C.staged(nodes, "nodes")
     parts = base.mapInArrow(_chained(n, num, den), "edge boolean, k long, v long")
     lag = F.lag("v").over(Window.partitionBy("edge", "k").orderBy("v"))
     near = parts.select(F.when(F.col("edge"), F.col("k")).otherwise(lag).alias("u"), "v")
     clusters = C.components(near.filter("u is not null and u <> v").distinct())
-    rows = clusters.select("node", F.col("comp").alias("cl")).join(nodes, "node")
+    clusters = C.components(alike(clusters, nodes, num, den))
+    rows = clusters.select("node", F.col("comp").alias("cl")).join(nodes.drop("bits"), "node")
     total = rows.groupBy("cl").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
     rows = rows.join(total, "cl").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select(F.col("rep").alias("id"), F.col("node").alias("own"), "cl", "b", "blocks", "copies")
@@ -282,7 +370,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     links = C.staged(x.mapInArrow(_blocks(num, den), "u long, v long, links long"), "links")
     comp = C.components(links.filter("links = 0").select("u", "v"))
     count = links.filter("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    whole = nodes.join(comp, "node", "left").join(count, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    whole = nodes.drop("bits").join(comp, "node", "left").join(count, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
     whole = whole.join(least, "comp").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = feats.select("id", "n", "node").join(whole, "node", "left")

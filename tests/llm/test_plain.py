@@ -155,6 +155,19 @@ def test_jaccard_signatures_lose_no_link():
                     assert np.intersect1d(jaccard.signatures(a, r), jaccard.signatures(b, r)).size
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 63, 64, 65, 500, 513):
+        for m in (n, n + 1, n + n // 4):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 1 << 63, m - len(a[n // 5 :])).astype(np.uint64)]))
+            x, y = jaccard.bitmap(a), jaccard.bitmap(b)
+            assert 64 * len(x) >= n
+            least = min(len(x), len(y))
+            differ = np.bitwise_count(jaccard._folded(x[None], least) ^ jaccard._folded(y[None], least)).sum()
+            assert differ <= len(np.setxor1d(a, b)) and differ % 2 == len(np.setxor1d(a, b)) % 2
+
+
 def test_overlap_product():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(40)]

@@ -48,6 +48,34 @@ def test_empty_tables(spark, docs):
         assert df.count() == 0
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_in_small_cells_equals_brute_force(spark, monkeypatch, num):
+    monkeypatch.setattr(jaccard, "BIT_ROWS", 6)
+    monkeypatch.setattr(jaccard, "ROWS", 4)
+    rng = np.random.default_rng(num)
+    passage = [f"p{k}" for k in range(60)]  # that all texts share, so that they are one candidate block
+    texts = []
+    for _ in range(30):
+        own = [f"x{k}" for k in rng.integers(0, 10**6, rng.integers(1, 300))]
+        for _ in range(rng.integers(1, 5)):
+            copy = list(own)
+            for k in rng.integers(0, len(own), rng.integers(0, 1 + len(own) // 12)):
+                copy[k] = f"y{rng.integers(0, 10**6)}"
+            texts.append(" ".join(passage + copy[: len(copy) - rng.integers(0, 1 + len(copy) // 10)]))
+    sets = [set(x.tolist()) for x in jaccard.shingle_sets(texts, 5)]
+    comp, links = list(range(len(sets))), [0] * len(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= num * len(a | b):
+                links[i] += 1
+                links[j] += 1
+                low, high = sorted((comp[i], comp[j]))
+                comp = [low if c == high else c for c in comp]
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, num, 100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == [(k, len(sets[k]), comp[k], links[k]) for k in range(len(sets))]
+    assert 0 < sum(links)
+
+
 def test_packing_places_every_piece_once(spark, docs):
     p = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 64).toPandas()
     assert p.groupby("sequence_id").length.sum().max() <= 64
