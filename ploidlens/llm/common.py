@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +80,33 @@ def word_hashes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, uniq), U64, len(uniq))[codes], ends
 
 
+def slices(batches, column: int = 1, most: int = 4 << 20):
+    """The rows of Arrow batches in smaller ones, of about `most` bytes of text or one longer text.
+
+    A text's words take some ten times its size as Python objects, so this bounds what a worker holds.
+    """
+    for b in batches:
+        size = pc.fill_null(pc.cast(pc.binary_length(b.column(column)), pa.int64()), 0).to_numpy()
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+            yield b.slice(lo, hi - lo)
+
+
+def released(run):
+    """run, after which the worker, that Spark keeps for later tasks, gives its free memory back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def groups_of(batches, keys: list[str]):
     """Runs of rows with equal keys of a sorted stream of Arrow batches, as (key, table)."""
     held: list[pa.RecordBatch] = []
@@ -148,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
     with a minimum for each node, and is staged. No component is ever gathered in one place.
     comp is the smallest node. No edges: no rows. Loops and repeated edges don't matter.
     """
-    now = staged(edges.select("u", "v").filter("u <> v").mapInArrow(local_forest, "u long, v long").distinct(), "edges")
+    now = staged(edges.select("u", "v").filter("u <> v").mapInArrow(released(local_forest), "u long, v long").distinct(), "edges")
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

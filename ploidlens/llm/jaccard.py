@@ -138,10 +138,10 @@ def bitmap(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
 
-def _features(n: int, num: int = 1, den: int = 1, sigs: bool = False, sets_too: bool = False):
+def _features(n: int, num: int = 1, den: int = 1, sigs: bool = False, sets_too: bool = False, aligned: bool = False):
     def run(batches):
         ranges = Ranges(num, den)
-        for b in batches:
+        for b in batches if aligned else C.slices(batches):
             sets = shingle_sets(b.column(1).to_pylist(), n)
             node = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
             node = [v - (v >> 63 << 64) if len(x) else None for v, x in zip(node, sets)]
@@ -262,7 +262,7 @@ def alike(clusters: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     own = F.when(F.col("few"), F.lit(0)).otherwise(F.shiftleft("g", 32) + F.pmod(F.xxhash64("node"), F.col("k")))
     x = rows.join(cells, ["cl", "g"]).select("cl", "node", "n", "bits", own.alias("s"), F.explode("others").alias("o"))
     x = x.select("cl", F.least("s", "o").alias("si"), F.greatest("s", "o").alias("sj"), "s", "node", "n", "bits")
-    return x.repartition("cl", "si", "sj").sortWithinPartitions("cl", "si", "sj").mapInArrow(_alike(num, den), "u long, v long")
+    return x.repartition("cl", "si", "sj").sortWithinPartitions("cl", "si", "sj").mapInArrow(C.released(_alike(num, den)), "u long, v long")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -350,10 +350,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     included) and n_links (of the row's class: documents it links with, equal sets included).
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = C.staged(base.mapInArrow(_features(n), "id long, n long, node long, bits binary"), "features")
+    feats = C.staged(base.mapInArrow(C.released(_features(n)), "id long, n long, node long, bits binary"), "features")
     nodes = feats.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = C.staged(nodes, "nodes")
-    parts = base.mapInArrow(_chained(n, num, den), "edge boolean, k long, v long")
+    parts = base.mapInArrow(C.released(_chained(n, num, den)), "edge boolean, k long, v long")
     lag = F.lag("v").over(Window.partitionBy("edge", "k").orderBy("v"))
     near = parts.select(F.when(F.col("edge"), F.col("k")).otherwise(lag).alias("u"), "v")
     clusters = C.components(near.filter("u is not null and u <> v").distinct())
@@ -363,11 +363,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     rows = rows.join(total, "cl").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.select(F.col("rep").alias("id"), F.col("node").alias("own"), "cl", "b", "blocks", "copies")
     x = base.join(rows, "id").select("id", "text", F.struct("own", "cl", "b", "blocks", "copies").alias("at"))
-    x = x.mapInArrow(_shingled(n), "node long, cl long, b int, blocks int, copies long, x binary")
+    x = x.mapInArrow(C.released(_shingled(n)), "node long, cl long, b int, blocks int, copies long, x binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     x = x.withColumn("o", other).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", "blocks")
     x = x.repartition("cl", "bi", "bj").sortWithinPartitions("cl", "bi", "bj")
-    links = C.staged(x.mapInArrow(_blocks(num, den), "u long, v long, links long"), "links")
+    links = C.staged(x.mapInArrow(C.released(_blocks(num, den)), "u long, v long, links long"), "links")
     comp = C.components(links.filter("links = 0").select("u", "v"))
     count = links.filter("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     whole = nodes.drop("bits").join(comp, "node", "left").join(count, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -381,7 +381,7 @@ def _shingled(n: int):
     """The sets again, of the classes' own rows only; rows of a repeated id with another text go."""
 
     def run(batches):
-        for b in _features(n, sets_too=True)(_kept(batches, at := [])):
+        for b in _features(n, sets_too=True, aligned=True)(_kept(C.slices(batches), at := [])):
             s = at.pop(0)
             node = b.column("node").fill_null(0)
             own = s.field(0)

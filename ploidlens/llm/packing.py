@@ -189,7 +189,7 @@ def _cut(tokenizer: str, capacity: int, end_id: int):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = C.staged(rows.mapInArrow(_cut(tokenizer, capacity, end_id), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    rows = C.staged(rows.mapInArrow(C.released(_cut(tokenizer, capacity, end_id)), "id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     count = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():  # at most `capacity` rows
         count[r["length"]] = r["count"]
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             j = r - at[:, 1]
             yield pa.record_batch([*b.columns[:5], pa.array(at[:, 4] + j // at[:, 3]), pa.array(at[:, 5] + j % at[:, 3] * n)], names)
 
-    return ranked.mapInArrow(place, f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(C.released(place), f"{id_col} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             found = [[{"kind": k, "start": s, "end": e, "score": v} for k, s, e, v in spans(t)] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, kind)], [id_col, "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"{id_col} long, spans array<struct<kind string, start long, end long, score double>>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(C.released(run), f"{id_col} long, spans array<struct<kind string, start long, end long, score double>>")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -82,7 +82,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
             g = got[lo : lo + 100_000]
             yield pa.record_batch([pa.array(g.astype(np.int32)), pa.array(count[g])], ["gram", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(C.released(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
@@ -187,7 +187,7 @@ def judged(docs: DataFrame, width: float = WIDTH, text_col: str = "text", lang_c
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"row {kind}, {', '.join(f'{n} long' for n in NAMES)}, log_perplexity double")
+    scored = rows.mapInArrow(C.released(run), f"row {kind}, {', '.join(f'{n} long' for n in NAMES)}, log_perplexity double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = C.staged(scored.withColumn("base_failed", failed), "scored")
     key = F.coalesce(F.concat(F.lit("="), F.col(f"row.`{lang_col}`").cast("string")), F.lit("")).alias("key")
