@@ -69,29 +69,40 @@ def assoc_ols(spark, d):
     return x.select("kmer", F.col("n").cast("long").alias("n"), F.round("beta", 8).alias("beta"), F.round("r2", 8).alias("r2"))
 
 
+def _samples(spark, d):
+    """The list of samples, which the workflow has as a file."""
+    return [r["vec_id"] for r in _read(spark, d, "embeddings").select("vec_id").distinct().orderBy("vec_id").collect()]
+
+
+def _rows(tidy, samples):
+    return kmers.bimbam(tidy.select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in samples])
+
+
 def bimbam_rows(spark, d):
     tidy, _ = _embed(spark, d)
-    few = tidy.filter("sample < 50").withColumn("dosage", F.round("dosage", 4))
-    rows = kmers.bimbam(few.select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in range(50)])
+    rows = _rows(tidy.withColumn("dosage", F.round("dosage", 4)), _samples(spark, d))
     return rows.select("kmer", "allele1", "allele0", F.size("dosage").cast("long").alias("n"), F.round(F.aggregate("dosage", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 def kinship_entries(spark, d):
-    """Entries of the centred relatedness matrix of the first 40 vectors."""
+    """Entries of the centred relatedness matrix."""
     tidy, _ = _embed(spark, d)
-    rows = kmers.bimbam(tidy.filter("sample < 40").select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in range(40)])
-    k = gwas.kinship(rows, 40)
-    return spark.createDataFrame([(i, j, round(float(k[i, j]), 7) + 0.0) for i in range(40) for j in range(40)], "i long, j long, k double")
+    samples = _samples(spark, d)
+    k = gwas.kinship(_rows(tidy, samples), len(samples))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in zip(samples, k)], "i long, x array<double>")
+    names = F.array(*[F.lit(j).cast("long") for j in samples])
+    return rows.select("i", F.explode(F.arrays_zip(names.alias("j"), F.col("x").alias("k"))).alias("e")).select("i", "e.j", (F.round("e.k", 7) + 0.0).alias("k"))
 
 
 def assoc_lmm(spark, d):
-    """The mixed model over the embeddings' markers of the first 60 vectors."""
+    """The mixed model over the embeddings' markers."""
     import numpy as np
 
     tidy, pheno = _embed(spark, d)
-    rows = kmers.bimbam(tidy.filter("sample < 60").select("kmer", "dosage", F.col("sample").cast("string").alias("sample")), [str(k) for k in range(60)])
-    trait = np.array([r["trait"] for r in pheno.filter("sample < 60").orderBy("sample").collect()])
-    k = gwas.kinship(rows, 60)
+    samples = _samples(spark, d)
+    rows = _rows(tidy, samples)
+    trait = np.array([r["trait"] for r in pheno.orderBy("sample").collect()])  # a number for each sample
+    k = gwas.kinship(rows, len(samples))
     return gwas.lmm(rows, trait, gwas.principal_components(k), k)
 
 
@@ -114,12 +125,12 @@ def sketch_per_chunk(spark, d):
 
 def _rare(spark, d):
     """9-mers that are in two or three reads, with a p made of their letters."""
-    r = reads(spark, d).withColumn("seq", F.substring("seq", 1, 400))
+    r = reads(spark, d)
     hits = kmers.read_kmers(r, 9, keep=["read_id"]).distinct().groupBy("kmer").agg(F.count("*").alias("n")).filter("n between 2 and 3")
     return r, hits.select("kmer", (F.lit(1.0) / (F.coalesce(codec.encode(F.col("kmer")), F.lit(0)) + 2)).alias("p"))
 
 
-RARE = f"""WITH r AS (SELECT read_id, sample, substr(seq, 1, 400) AS seq FROM ({SEQ})),
+RARE = f"""WITH r AS ({SEQ}),
 w AS (SELECT DISTINCT read_id, {_canon('raw')} AS kmer FROM (SELECT read_id, substr(seq, CAST(i AS INT), 9) AS raw FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 7)) AS i FROM r))),
 k AS (SELECT kmer, 1.0::DOUBLE / (list_sum(list_transform(range(1, 10), lambda i: (instr('ACGT', substr(kmer, CAST(i AS INT), 1)) - 1) * CAST(pow(4, 9 - i) AS BIGINT))) + 2) AS p FROM w GROUP BY kmer HAVING count(*) BETWEEN 2 AND 3),
 h AS (SELECT read_id, min(p) AS p, count(*) AS n_kmers FROM w JOIN k USING (kmer) GROUP BY read_id)"""
@@ -152,7 +163,7 @@ def first_hit(spark, d):
 
 
 def manhattan(spark, d):
-    e = _read(spark, d, "lineitem").filter("l_linenumber = 1")
+    e = _read(spark, d, "lineitem")
     points = e.select(F.col("l_orderkey").alias("snp"), F.concat(F.lit("chr"), (F.col("l_suppkey") % 7).cast("string")).alias("chr"), F.col("l_partkey").alias("pos"), (F.lit(1.0) / (F.col("l_quantity") + 1)).alias("p"))
     return gwas.manhattan(points).select("snp", "chr", "pos", "x", F.round("y", 8).alias("y"))
 
@@ -160,10 +171,10 @@ def manhattan(spark, d):
 def _intervals(spark, d):
     a = _read(spark, d, "orders").select((F.col("o_orderkey") % 10).alias("chrom"), (F.col("o_orderkey") % 5000).alias("beg"), (F.col("o_orderkey") % 5000 + 20).alias("end"), F.col("o_orderkey").alias("id"))
     b = _read(spark, d, "events").select((F.col("event_id") % 10).alias("chrom"), (F.col("event_id") * 7 % 5000).alias("beg"), (F.col("event_id") * 7 % 5000 + 10).alias("end"), F.col("event_id").alias("id"))
-    return a, b.filter("id % 10 = 3 and id % 7 = 1")
+    return a, b
 
 
-INTERVALS = "WITH a AS (SELECT o_orderkey % 10 AS chrom, o_orderkey % 5000 AS beg, o_orderkey % 5000 + 20 AS e, o_orderkey AS id FROM orders), b AS (SELECT event_id % 10 AS chrom, event_id * 7 % 5000 AS beg, event_id * 7 % 5000 + 10 AS e, event_id AS id FROM events WHERE event_id % 10 = 3 AND event_id % 7 = 1)"
+INTERVALS = "WITH a AS (SELECT o_orderkey % 10 AS chrom, o_orderkey % 5000 AS beg, o_orderkey % 5000 + 20 AS e, o_orderkey AS id FROM orders), b AS (SELECT event_id % 10 AS chrom, event_id * 7 % 5000 AS beg, event_id * 7 % 5000 + 10 AS e, event_id AS id FROM events)"
 
 
 def interval_overlap(spark, d):
@@ -234,8 +245,8 @@ ORACLE_SQL = {
     "kmer_matrix_all": f"WITH {_ctes()}, f AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS n_samples FROM c) SELECT n_samples, count(*) AS n_cells, CAST(sum(cnt) AS BIGINT) AS total FROM f GROUP BY 1",
     "kmer_filter_dosage": f"WITH {_ctes()}, q AS (SELECT sample, sum(n_chars) / 1000.0::DOUBLE AS depth FROM r GROUP BY 1), f AS (SELECT *, count(*) OVER (PARTITION BY kmer) AS present FROM c WHERE cnt <= 1000) SELECT kmer, sample, cnt, least(4.0::DOUBLE, round(cnt * 4 / depth)) AS dosage FROM f JOIN q USING (sample) WHERE 1 - present / 20.0::DOUBLE <= 0.8",
     "assoc_ols": f"WITH {EMBED} SELECT CAST(m AS VARCHAR) AS kmer, CAST(regr_count(label, dosage) AS BIGINT) AS n, round(regr_slope(label, dosage), 8) AS beta, round(regr_r2(label, dosage), 8) AS r2 FROM t GROUP BY m",
-    "bimbam_rows": f"WITH {EMBED} SELECT CAST(m AS VARCHAR) AS kmer, 'A' AS allele1, 'T' AS allele0, 50::BIGINT AS n, round(sum(round(dosage, 4)), 4) AS total FROM t WHERE sample < 50 GROUP BY m",
-    "kinship_entries": f"WITH {EMBED}, x AS (SELECT sample, m, dosage - avg(dosage) OVER (PARTITION BY m) AS v FROM t WHERE sample < 40) SELECT a.sample AS i, b.sample AS j, round(sum(a.v * b.v) / 64, 7) + 0.0 AS k FROM x a JOIN x b USING (m) GROUP BY 1, 2",
+    "bimbam_rows": f"WITH {EMBED} SELECT CAST(m AS VARCHAR) AS kmer, 'A' AS allele1, 'T' AS allele0, count(*) AS n, round(sum(round(dosage, 4)), 4) AS total FROM t GROUP BY m",
+    "kinship_entries": f"WITH {EMBED}, x AS (SELECT sample, m, dosage - avg(dosage) OVER (PARTITION BY m) AS v FROM t) SELECT a.sample AS i, b.sample AS j, round(sum(a.v * b.v) / 64, 7) + 0.0 AS k FROM x a JOIN x b USING (m) GROUP BY 1, 2",
     "bh_threshold": "WITH p AS (SELECT pow(o_totalprice / (SELECT max(o_totalprice) FROM orders), 6) AS p FROM orders), v AS (SELECT p FROM p WHERE p > 0 AND p <= 1), n AS (SELECT count(*) AS n FROM v), r AS (SELECT p, n, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank FROM v, n) SELECT max(n)::BIGINT AS n, round(-log10(max(CASE WHEN p * n / rank < 0.05 THEN p END)), 8) AS bh_cutoff, round(-log10(0.05 / max(n)), 8) AS bf_cutoff FROM r",
     "sketch": f"WITH {_ctes()} SELECT kmer FROM (SELECT DISTINCT kmer FROM c) ORDER BY md5(kmer || ':1'), kmer LIMIT 500",
     "sketch_per_chunk": f"WITH {_ctes()} SELECT sample AS chunk, kmer FROM c QUALIFY row_number() OVER (PARTITION BY sample ORDER BY md5(kmer || ':1'), kmer) <= 20",
@@ -244,7 +255,7 @@ ORACLE_SQL = {
     "retrieve": f"WITH {_ctes()} SELECT * FROM c WHERE kmer IN (SELECT kmer FROM c WHERE cnt >= 200)",
     "codec_roundtrip": f"WITH {_ctes()} SELECT kmer, list_sum(list_transform(range(1, {K + 1}), lambda i: (instr('ACGT', substr(kmer, CAST(i AS INT), 1)) - 1) * CAST(pow(4, {K} - i) AS BIGINT)))::BIGINT AS code, kmer AS back, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM (SELECT DISTINCT kmer FROM c)",
     "first_hit": "SELECT user_id || '/' || event_type AS q, event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
-    "manhattan": "WITH e AS (SELECT l_orderkey AS snp, 'chr' || (l_suppkey % 7) AS chr, l_partkey AS pos, 1.0::DOUBLE / (l_quantity + 1) AS p FROM lineitem WHERE l_linenumber = 1), t AS (SELECT chr, max(pos) AS top FROM e GROUP BY 1), o AS (SELECT chr, coalesce(sum(top) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM t) SELECT snp, chr, pos, CAST(pos + off AS BIGINT) AS x, round(-log10(p), 8) AS y FROM e JOIN o USING (chr)",
+    "manhattan": "WITH e AS (SELECT l_orderkey AS snp, 'chr' || (l_suppkey % 7) AS chr, l_partkey AS pos, 1.0::DOUBLE / (l_quantity + 1) AS p FROM lineitem), t AS (SELECT chr, max(pos) AS top FROM e GROUP BY 1), o AS (SELECT chr, coalesce(sum(top) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM t) SELECT snp, chr, pos, CAST(pos + off AS BIGINT) AS x, round(-log10(p), 8) AS y FROM e JOIN o USING (chr)",
     "interval_overlap": f"{INTERVALS} SELECT a.id, b.id AS b_id FROM a JOIN b ON a.chrom = b.chrom AND a.beg < b.e AND b.beg < a.e",
     "interval_semi": f"{INTERVALS} SELECT a.id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.beg < b.e AND b.beg < a.e)",
     "interval_anti": f"{INTERVALS} SELECT a.id FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.beg < b.e AND b.beg < a.e)",
