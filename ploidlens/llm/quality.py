@@ -7,8 +7,11 @@ that bound (28 MB) at any scale. The model is kept in arrays sorted by the n-gra
 symbols, a perfect hash) and read by binary search; a worker looks up each n-gram of a batch once.
 
 A document is rejected if a base rule fails or its log perplexity lies outside its language's band:
-from q1 - width * (q3 - q1) to q3 + width * (q3 - q1), quartiles of all the language's documents that pass
-the base rules. A null lang is a language of its own.
+from q1 - width * s to q3 + width * s, quartiles of all the language's distinct texts that pass the base
+rules, each counted once however many copies there are; s is q3 - q1, or SPREAD if that is more, so that
+near copies of one text can't narrow the band to themselves. The counts, too, take a text that has over
+one in HEAVY rows (so there are fewer than HEAVY such texts) once, else its copies would make it an
+outlier. A null lang is a language of its own.
 
 Null texts: no words, base_failed. Repeated rows and ids: judged each. Empty table: no rows.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from ploidlens.llm import common as C
 
 ORDER, SYMBOLS, WIDTH = 4, 39, 3.0
+#: The least spread of a band; sf0.1 has 0.027 to 0.045 by language.
+SPREAD = 0.025
+HEAVY = 1000
 SPACE, OTHER_LETTER, UPPER, NUMBER, OTHER = 0, 27, 28, 29, 38
 MARKS = {".": 30, ",": 31, ";": 31, ":": 31, "'": 32, "-": 32, "’": 32, "!": 33, "?": 33, "#": 34, "*": 34, "$": 34, "%": 34, "&": 34, "<": 35, ">": 35, "|": 35, '"': 36, "(": 36, ")": 36, "[": 36, "]": 36, "«": 36, "»": 36}
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -68,21 +75,41 @@ def grams(text: str | None, order: int = ORDER) -> np.ndarray:
     return g
 
 
+def heavy(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
+    """How many rows have each text (by hash) that is more than one in HEAVY of all."""
+    rows = docs.filter(F.length(text_col) > 0).groupBy(F.xxhash64(text_col).alias("h")).count().cache()
+    total = rows.agg(F.sum("count")).first()[0] or 0
+    out = {r["h"]: r["count"] for r in rows.filter((F.col("count") > 1) & (F.col("count") * HEAVY > total)).collect()}  # fewer than HEAVY rows
+    rows.unpersist()
+    return out
+
+
 def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) of all texts; each task adds up its own counts first."""
+    """(gram, n) of all texts, heavy ones once; each task adds up its own counts first."""
+    copies = heavy(docs, text_col)
 
     def run(batches):
-        count = np.zeros(SYMBOLS**ORDER, np.int64)
+        count, shared = np.zeros(SYMBOLS**ORDER, np.int64), Counter()
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t]
+            texts = []
+            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and h not in copies:
+                    texts.append(t)
+                elif t:
+                    shared[h, t] += 1
             for lo in range(0, len(texts), 400):
                 count += np.bincount(np.concatenate([grams(t) for t in texts[lo : lo + 400]]), minlength=len(count))
-        got = np.flatnonzero(count)
+        part = np.zeros(len(count) if shared else 0)
+        for (h, t), k in shared.items():
+            g, n = np.unique(grams(t), return_counts=True)
+            part[g] += n * (k / copies[h])
+        got = np.flatnonzero((count > 0) | (part > 0) if shared else count)
         for lo in range(0, len(got), 100_000):
             g = got[lo : lo + 100_000]
-            yield pa.record_batch([pa.array(g.astype(np.int32)), pa.array(count[g])], ["gram", "n"])
+            yield pa.record_batch([pa.array(g.astype(np.int32)), pa.array(count[g] + part[g] if shared else count[g].astype(float))], ["gram", "n"])
 
-    return docs.select(text_col).mapInArrow(C.released(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(text_col, F.xxhash64(text_col)).mapInArrow(C.released(run), "gram int, n double")
+    return rows.groupBy("gram").agg(F.greatest(F.lit(1), F.round(F.sum("n"))).cast("long").alias("n"))
 
 
 class KneserNey:
@@ -191,9 +218,11 @@ def judged(docs: DataFrame, width: float = WIDTH, text_col: str = "text", lang_c
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = C.staged(scored.withColumn("base_failed", failed), "scored")
     key = F.coalesce(F.concat(F.lit("="), F.col(f"row.`{lang_col}`").cast("string")), F.lit("")).alias("key")
-    q = scored.filter("not base_failed and log_perplexity is not null").groupBy(key).agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
+    once = scored.filter("not base_failed and log_perplexity is not null").groupBy(key, F.xxhash64(f"row.`{text_col}`").alias("h")).agg(F.max("log_perplexity").alias("log_perplexity"))
+    q = once.groupBy("key").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
     low, high = F.col("q")[0], F.col("q")[1]
-    bands = q.select("key", (low - width * (high - low)).alias("band_low"), (high + width * (high - low)).alias("band_high"))
+    spread = F.greatest(high - low, F.lit(SPREAD))
+    bands = q.select("key", (low - width * spread).alias("band_low"), (high + width * spread).alias("band_high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return scored.withColumn("key", key).join(bands, "key", "left").withColumn("kept", kept).drop("key")
 

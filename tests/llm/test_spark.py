@@ -124,3 +124,15 @@ def test_pipeline_stages(spark, docs):
             assert not any("@" in t for t in out.toPandas().text)
         at = out
     assert isinstance(at.toPandas(), pd.DataFrame)
+
+
+def test_copies_do_not_narrow_the_band_of_a_language(spark):
+    rng = np.random.default_rng(4)
+    words = np.array(["".join(rng.choice(list("etaoinshrdlucm"), rng.integers(2, 9))) for _ in range(400)])
+    text = lambda: " ".join(rng.choice(words, 300))
+    one, two = text(), text()
+    rows = [("a", text()) for _ in range(300)] + [("b", text()) for _ in range(40)] + [("b", one)] * 200
+    rows += [(None, text()) for _ in range(20)] + [(None, two)] * 60
+    df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    lost = quality.judged(df).filter("not kept").select("row.lang", "row.text").collect()
+    assert [(r["lang"], r["text"][:20]) for r in lost] == []
