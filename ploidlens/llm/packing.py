@@ -9,7 +9,8 @@ The search (bin completion): take the largest length left, enumerate the undomin
 the room around it (a filling is dominated if one of its pieces, or a sum of some, can be replaced
 by a longer single piece that fits), best fit first. Descending greedily gives an incumbent;
 branches whose waste exceeds what the incumbent less one sequence may waste are pruned; the search
-ends at the lower bound or after `nodes` branches, with the best incumbent.
+ends at the lower bound or after `nodes` branches, with the best incumbent. A branch has up to 16
+fillings, looked for in 400 steps.
 
 Pieces then get a rank within their length, by salted partitions, and the rank tells sequence and
 offset. Null texts are empty (the end id alone). Repeated rows and ids are packed each; null ids are
@@ -19,6 +20,7 @@ kept. Empty table: no rows. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +34,78 @@ from ploidlens.llm.tokens import Encoder
 SALT_ROWS = 200_000
 
 
+def _dominated(filling: list[tuple[int, int]], waste: int, count: np.ndarray, there: int) -> bool:
+    """Whether a piece left over fits in, or could replace a shorter piece or sum of pieces. there: bits of the lengths counted."""
+    sums = 1
+    for x, k in filling:
+        if k == count[x]:
+            there &= ~(1 << x)
+        m = 1
+        while k > 0:
+            sums |= sums << min(m, k) * x
+            k, m = k - m, 2 * m
+    longer, n = sums << 1, 1
+    while n < waste:  # sums and 1 to `waste` more
+        m = min(n, waste - n)
+        longer, n = longer | longer << m, n + m
+    return bool(longer & there)
+
+
 def fillings(room: int, count: np.ndarray, waste: int, want: int = 4, nodes: int = 3000) -> list[list[int]]:
-    """Undominated fillings of the room from the lengths counted, least waste first (at most `want`, none over `waste`)."""
-    found: list[tuple[int, list[int]]] = []
-    left = count.copy()
-    lengths = np.flatnonzero(count)
+    """Undominated fillings of the room from the lengths counted, least waste first (at most `want`, none over `waste`).
+
+    A length is placed in multiples, which is one step. When the steps run out, the filling at hand is completed greedily."""
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    spare: list[tuple[int, list[tuple[int, int]]]] = []  # the best of the dominated ones
+    have: list[tuple[int, int]] = []
+    number = np.flatnonzero(count)
+    total = np.cumsum(number * count[number]).tolist()
+    lengths = number.tolist()
+    there = sum(1 << x for x in lengths)
     steps = [nodes]
 
-    def best() -> int:
-        return waste if len(found) < want else min(waste, max(w for w, _ in found))
+    def limit() -> int:
+        return waste if len(found) < want else min(waste, found[-1][0] - 1)
+
+    def record(room: int) -> None:
+        if room > limit():
+            return
+        if room and _dominated(have, room, count, there):
+            if not spare or room < spare[0][0]:
+                spare[:] = [(room, have[:])]
+            return
+        found.append((room, have[:]))
+        found.sort(key=lambda f: f[0])
+        del found[want:]
 
-    def search(room: int, top: int, have: list[int]) -> None:
+    def search(room: int, top: int) -> None:
         steps[0] -= 1
-        if room <= best() and not any(left[x] > 0 for x in lengths[: np.searchsorted(lengths, min(room, top), "right")][:1]):
-            found.append((room, have[:]))
-            found.sort(key=lambda f: f[0])
-            del found[want:]
+        top = bisect_right(lengths, room, 0, top)
+        if not top or steps[0] <= 0:
+            n = len(have)
+            while top := bisect_right(lengths, room, 0, top):
+                top -= 1
+                k = min(int(count[lengths[top]]), room // lengths[top])
+                have.append((lengths[top], k))
+                room -= k * lengths[top]
+            record(room)
+            del have[n:]
             return
-        k = int(np.searchsorted(lengths, min(room, top), "right"))
-        for x in lengths[:k][::-1].tolist():
-            if steps[0] <= 0 or (len(found) >= want and found[-1][0] == 0):
-                return
-            if not left[x]:
-                continue
-            if x < room and x * int(left[:x + 1].sum()) < room - best():
+        for i in range(top - 1, -1, -1):
+            if room - total[i] > limit():
                 return  # even all that are no longer don't fill the room
-            # with x as the longest, a piece that could take the place of x and lie between is not left out
-            left[x] -= 1
-            have.append(x)
-            search(room - x, x, have)
-            have.pop()
-            left[x] += 1
+            x = lengths[i]
+            for k in range(min(int(count[x]), room // x), 0, -1):
+                have.append((x, k))
+                search(room - k * x, i)
+                have.pop()
+                if steps[0] <= 0 or limit() < 0:
+                    return
 
-    search(room, room, [])
-    return [f for _, f in found]
+    search(room, len(lengths))
+    if spare and (not found or spare[0][0] < found[0][0]):
+        found = (spare + found)[:want]
+    return [[x for x, k in f for _ in range(k)] for _, f in found]
 
 
 def _greedy(count: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
@@ -125,7 +165,7 @@ def _branch(count: np.ndarray, capacity: int, waste: int, left: list[int]) -> li
     def options(waste: int):
         x = int(np.flatnonzero(count)[-1])
         count[x] -= 1
-        f = fillings(capacity - x, count, waste, want=3, nodes=400)
+        f = fillings(capacity - x, count, waste, want=16, nodes=400)
         count[x] += 1
         return [[x, *g] for g in f]
 

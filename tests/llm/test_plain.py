@@ -73,6 +73,25 @@ def test_packing_is_optimal_on_small_cases(sizes):
     assert sum(m for m, _ in plan) == _best(sizes, 20)
 
 
+@pytest.mark.parametrize("counts", [{1: 5000}, {2: 7000, 1: 3}, {5: 40000, 1: 3, 700: 90}, {3: 10000, 4: 10000, 5: 10000}, {1: 30000, 2043: 10, 900: 50}, {4: 50000} | {k: 20 for k in range(20, 2048, 7)}])
+def test_many_short_pieces_fill_their_sequences(counts):
+    count = np.zeros(2049, np.int64)
+    count[list(counts)] = list(counts.values())
+    plan = packing.complete(count, 2048)
+    got = np.zeros(2049, np.int64)
+    for m, f in plan:
+        got += m * np.bincount(f, minlength=2049)
+        assert sum(f) <= 2048
+    assert (got == count).all()
+    assert sum(m for m, _ in plan) == packing.bound(count, 2048)
+
+
+def test_a_dominated_filling_is_left_out():
+    count = np.bincount([3, 3, 4, 7], minlength=11)
+    assert packing.fillings(10, count, 10, want=9) == [[7, 3], [4, 3, 3]]
+    assert packing.fillings(9, count, 10, want=9) == [[7], [4, 3]]  # not [3, 3], where 4 fits for a 3
+
+
 @pytest.mark.parametrize("transforms", [(), (2,), (0,), (1,), (0, 1, 2), (2, 1, 0), (3,), (3, 0)])
 @pytest.mark.parametrize("cache,runs", [(0, False), (5, True)])
 def test_webp_round_trip(transforms, cache, runs):
