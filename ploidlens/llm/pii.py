@@ -3,7 +3,9 @@
 Base kinds, leftmost and non-overlapping for each kind: email, ip, card (Luhn), phone. They are kept
 whatever their score. The method adds three kinds, kept from a score of 0.6 on: iban (mod-97), ssn
 (three groups of digits with a word like "ssn" near) and secret (a long token after a word like
-"token" or "api key" and = or :). Words within 48 characters before or after a span adjust its score.
+"token" or "api key" and = or :, to the end of its characters). Words within 48 characters before or
+after a span adjust its score. An IBAN may end wherever no letter or digit follows and mod-97 holds: at its
+country's length if it can, else as late as it can.
 
 Each pattern runs in time linear in the text: an email is looked for around each @, and a run of
 digits is tried from its start only, where the plain patterns give the same matches. Offsets count
@@ -30,9 +32,20 @@ DIGIT = re.compile("[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}((?: ?[A-Z0-9]){11,30}+))")
+#: Letters and digits of an IBAN by country.
+IBAN_SIZE = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"""(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.-]{16,200}+)""")
+SECRET = re.compile(r"""(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_ -]?key|access[_ -]?key|private[_ -]?key)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.-]{16,}+)""")
 #: Score of a kind before its context, what a word of its own kind near adds, and the words.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.6}
 NEAR, BONUS, MALUS, KEEP = 48, 0.25, 0.25, 0.6
@@ -63,6 +76,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(t: str):
+    """From each start the valid one of its country's length, or else the longest valid one."""
+    done = 0
+    for m in IBAN.finditer(t):
+        s = m.start()
+        if s < done:
+            continue
+        ends = [e for e in range(m.end(1), s + 14, -1) if t[e - 1] != " " and not (t[e : e + 1].isascii() and t[e : e + 1].isalnum())]
+        size = {e: e - s - t.count(" ", s, e) for e in ends}
+        for e in sorted(ends, key=lambda e: (size[e] != IBAN_SIZE.get(t[s : s + 2]), -e)):
+            if size[e] >= 15 and mod97(t[s:e]):
+                yield s, e
+                done = e
+                break
+
+
 def _emails(t: str):
     done, at = 0, t.find("@")
     while at >= 0:
@@ -89,7 +118,7 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
                 out.append(("card", *m.span()))
         if "+" in t:
             out += [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(DIGIT.findall(m[0])) <= 15]
-        out += [("iban", *m.span()) for m in IBAN.finditer(t) if mod97(m[0])]
+        out += [("iban", *x) for x in _ibans(t)]
         out += [("ssn", *m.span()) for m in SSN.finditer(t)]
     if "=" in t or ":" in t:
         out += [("secret", *m.span(1)) for m in SECRET.finditer(t) if DIGIT.search(m[1])]

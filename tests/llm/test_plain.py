@@ -137,6 +137,19 @@ def test_pii_checks_and_context():
     assert "@" not in pii.redact(t) and "[EMAIL]" in pii.redact(t) and pii.redact(None) is None and pii.spans("1" * 100_000 + "@" * 1000) is not None
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFF", " 1000 EUR", " AB", ", 12", " Bank", " 1 2 3 4 5 6 7 8 9"])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"])
+def test_iban_ends_before_what_follows(iban, after):
+    t = f"Konto {iban}{after}"
+    assert [t[s:e] for k, s, e, _ in pii.spans(t) if k == "iban"] == [iban]
+
+
+@pytest.mark.parametrize("size", [16, 200, 201, 5000])
+def test_long_secrets_are_redacted_whole(size):
+    key = ("aB3_-.x9" * 700)[:size]
+    assert pii.redact(f"token = {key} end") == "token = [SECRET] end"
+
+
 def _plain_base(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
