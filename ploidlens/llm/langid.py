@@ -12,8 +12,8 @@ hashes), TOTAL in all, and of each up to STRETCH words from a hashed place. Pred
 uses all words of whole texts. Sums over long texts run in blocks of words, by products of transition
 matrices, so a long text costs no more a word than a short one.
 
-Words are runs of letters, lowered. Of a word over 24 letters, its first 24 give the n-grams, and its
-own end the suffixes. Texts that are null or have no letter: "und", score 0. Nothing to learn from:
+Words are runs of letters, lowered. A run of over 24 letters becomes successive words of at most 24, each
+with the last two letters of the one before, so that all letter trigrams count. Texts that are null or have no letter: "und", score 0. Nothing to learn from:
 all texts "und". Ties go to the first language by name. Repeated rows are predicted each. Empty
 table: no rows. Extra columns are ignored.
 """
@@ -83,6 +83,8 @@ def words_of(text: str | None) -> list[str]:
             out.append(w)
         elif w:
             out += WORD.findall(w)
+    if out and max(map(len, out)) > MAXLEN:
+        out = [w[k : k + MAXLEN] for w in out for k in range(0, max(1, len(w) - 2), MAXLEN - 2)]
     return out
 
 

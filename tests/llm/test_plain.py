@@ -242,6 +242,18 @@ with words enough.</p><aside>Side</aside><p>Second paragraph with words, <a href
 <section class="comments"><p>Great post, a very long comment that has many many words in it and goes on and on.</p></section><footer>c</footer>"""
 
 
+def test_long_runs_of_letters_count_whole():
+    w = "".join(chr(0x4E00 + k) for k in range(500))
+    parts = langid.words_of(f"ab {w}, {w[:24]} {w[:25]}")
+    assert max(map(len, parts)) == 24 and parts[0] == "ab" and parts[-3:] == [w[:24], w[:24], w[22:25]]
+    assert {w[k : k + 3] for k in range(498)} == {p[k : k + 3] for p in parts[1:-3] for k in range(len(p) - 2)}
+    rng = np.random.default_rng(1)
+    run = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = [("x", run("abcdef", 400)) for _ in range(20)] + [("y", run("uvwxyz", 400)) for _ in range(20)]
+    tagger = langid.Tagger(["x", "y"]).fit([langid.words_of(t) for _, t in texts], [x for x, _ in texts])
+    assert tagger.predict([run("abcdef", 24) + run("uvwxyz", 400), run("uvwxyz", 24) + run("abcdef", 400)])[0] == ["y", "x"]
+
+
 def test_main_text():
     assert html.extract(PAGE) == "Title & all\nFirst paragraph here with words enough.\nSecond paragraph with words, linked too.\nitem one\nitem two"
     assert html.extract(None) == html.extract("") == html.extract("<p>") == ""
