@@ -4,7 +4,7 @@ A page becomes a sequence of tokens. Words score positive and tags negative, wit
 log odds of each kind of token inside and outside the main text of labelled pages (LABELLED, made by
 a rule from page furniture). One linear scan (Kadane) finds the contiguous region of the highest sum.
 Of the region, elements known as furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-comments, ...) by tag, role, class or id are left out: their words score nothing, so they don't cut it.
+comments, ...) by tag, role, class or id are left out: their words and tags score nothing, so they don't cut it.
 
 A block is the text between block-level tags. Character references are decoded, white space within
 a block becomes one space, blocks are joined by a newline in page order. Nothing else is dropped.
@@ -60,7 +60,7 @@ def furniture(tag: str, attrs: str) -> bool:
 
 
 def tokens(html: str):
-    """(kind, text, block, kept): kinds are tags, "word" (a run of words), "link" and "other"; block counts block breaks; kept tells text outside furniture."""
+    """(kind, text, block, kept): kinds are tags, "word" (a run of words), "link" and "other"; block counts block breaks; kept tells what is outside furniture (its own tags are inside)."""
     at, block, n, stack, bad, article = 0, 0, len(html), [], 0, 0
     links = 0
     heading = 0
@@ -89,12 +89,14 @@ def tokens(html: str):
             continue
         if tag in BLOCK:
             block += 1
-        yield ("/" if close else "") + tag, "", block, False
+        single = tag in VOID or attrs.endswith("/")
+        if close or single:
+            yield ("/" if close else "") + tag, "", block, not bad
         if tag == "a":
             links = 0 if close else 1
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             heading = 0 if close else 1
-        if tag in VOID or attrs.endswith("/"):
+        if single:
             continue
         if close:
             for k in range(len(stack) - 1, -1, -1):
@@ -119,6 +121,7 @@ def tokens(html: str):
                 stack.append((tag, f))
                 bad += f
                 article += tag in ("article", "main")
+            yield tag, "", block, not bad
 
 
 def _labelled() -> list[tuple[str, bool]]:
@@ -162,7 +165,7 @@ def extract(html: str | None) -> str:
         if text:
             gain = WEIGHTS[kind] * len(text.split()) if kept else 0.0
         else:
-            gain = WEIGHTS.get(kind, UNSEEN)
+            gain = WEIGHTS.get(kind, UNSEEN) if kept else 0.0
         if here <= 0 and gain > 0:
             here, start = 0.0, k
         here += gain

@@ -254,6 +254,15 @@ def test_long_runs_of_letters_count_whole():
     assert tagger.predict([run("abcdef", 24) + run("uvwxyz", 400), run("uvwxyz", 24) + run("abcdef", 400)])[0] == ["y", "x"]
 
 
+@pytest.mark.parametrize("menu", ['<nav>{}</nav>', '<div class="related"><ul>{}</ul></div>', '<aside><div>{}</div></aside>'])
+def test_long_menus_do_not_cut_an_article(menu):
+    words = "one reads here what the writer of this long and quiet story has to say about it all".split()
+    part = lambda n, w: " ".join([w, *(words[k % len(words)] for k in range(n))])
+    links = "".join(f'<li><a href="/{k}">more {k}</a></li>' for k in range(200))
+    page = f"<html><body><div><article><h1>{part(5, 'Head')}</h1><p>{part(60, 'First')}</p>{menu.format(links)}<p>{part(50, 'Second')}</p></article></div></body></html>"
+    assert html.extract(page) == "\n".join([part(5, "Head"), part(60, "First"), part(50, "Second")])
+
+
 def test_main_text():
     assert html.extract(PAGE) == "Title & all\nFirst paragraph here with words enough.\nSecond paragraph with words, linked too.\nitem one\nitem two"
     assert html.extract(None) == html.extract("") == html.extract("<p>") == ""
