@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -30,29 +31,44 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not re.match(r"local($|\[)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="ploidlens-"))
             found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, which cuts its lineage.
 
-    The table survives the loss of executors. It is deleted when the application ends.
+    The table survives the loss of executors. It is deleted when the application ends, or by dropped().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ploidlens/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, fs = _folder(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        where, fs = _folder(df.sparkSession, df._staged_at)
+        fs.delete(where, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -151,18 +167,38 @@ def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([nodes[label[own]], nodes[own]], 1) if len(own) else NO_EDGE
 
 
+NODE = "struct<a:bigint,b:bigint>"
+EDGES = f"u {NODE}, v {NODE}"
+_PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
+
+
+def pairs(column) -> np.ndarray:
+    """An Arrow column of nodes as a structured array."""
+    out = np.empty(len(column), _PAIR)
+    for k, name in enumerate("ab"):
+        out[name] = column.field(k).to_numpy()
+    return out
+
+
+def nodes(x: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in "ab"], ["a", "b"])
+
+
 def local_forest(batches):
     """mapInArrow: of the edges (u, v) that a task holds, a spanning forest by blocks."""
     held, n = [], 0
 
     def done():
-        e = np.concatenate(held)
-        f = forest(e[:, 0], e[:, 1])
-        return pa.record_batch([pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1]))], ["u", "v"])
+        node, at = np.unique(np.concatenate([x for e in held for x in e]), return_inverse=True)
+        ends = np.cumsum([0] + [len(x) for e in held for x in e])
+        cut = [at[a:b] for a, b in zip(ends, ends[1:])]
+        f = forest(np.concatenate(cut[::2]), np.concatenate(cut[1::2]))
+        return pa.record_batch([nodes(node[f[:, 0]]), nodes(node[f[:, 1]])], ["u", "v"])
 
     for b in batches:
-        held.append(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1))
-        n += b.num_rows
+        if b.num_rows:
+            held.append((pairs(b.column(0)), pairs(b.column(1))))
+            n += b.num_rows
         if n >= 1_000_000:
             yield done()
             held, n = [], 0
@@ -171,13 +207,13 @@ def local_forest(batches):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (u, v), longs: one row (node, comp) for each node that has an edge.
+    """Connected components of edges (u, v), nodes of two longs: one row (node, comp) for each node that has an edge.
 
     Alternates large-star and small-star steps until the edges no longer change; each step joins
-    with a minimum for each node, and is staged. No component is ever gathered in one place.
-    comp is the smallest node. No edges: no rows. Loops and repeated edges don't matter.
+    with a minimum for each node, and is staged; the table before goes. No component is ever gathered
+    in one place. comp is the smallest node. No edges: no rows. Loops and repeated edges don't matter.
     """
-    now = staged(edges.select("u", "v").filter("u <> v").mapInArrow(released(local_forest), "u long, v long").distinct(), "edges")
+    now = staged(edges.select("u", "v").filter("u <> v").mapInArrow(released(local_forest), EDGES).distinct(), "edges")
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -185,10 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        now = staged(small, "edges")
+        last, now = now, staged(small, "edges")
+        dropped(last)
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
             break
         before = sign
     star = now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
-    return staged(star.union(star.select(F.col("comp").alias("node"), "comp").distinct()), "components")
+    out = staged(star.union(star.select(F.col("comp").alias("node"), "comp").distinct()), "components")
+    dropped(now)
+    return out

@@ -4,29 +4,29 @@ The product of the document by n-gram incidence matrix with its own transpose ho
 every pair. It is computed in blocks, and only in those that can hold a linked pair:
 
 1. Each text becomes its set of distinct n-word shingles (64-bit hashes). Texts with equal sets
-   form a class; only one row of the matrix stands for a class.
-2. Size bounds: a link needs sizes within the ratio num/den, and a symmetric difference of at most
-   H = (n1 + n2)(den - num)/(den + num). Sets of a size range are therefore cut, by hash, into more
-   than H parts; linked sets agree in at least one. Equal parts give edges between classes; the
-   connected components of these edges are the candidate blocks. No pair of a group is listed: rows
-   with one part in common are chained, within a task first, then across tasks.
+   form a class (a 128-bit hash of the set); only one row of the matrix stands for a class.
+2. Size bounds: a link of a set of n shingles needs ceil(n num/den) common ones. So of any one order
+   of all shingles, the first n - ceil(n num/den) + 1 of two linked sets have one in common, and their
+   sizes are within the ratio num/den. The order is by how often a shingle occurs, rarest first (counts
+   of BUCKETS buckets, logarithms of which are 4 MB, which go to all tasks; any order gives the same
+   links, a good one fewer candidates): passages that many documents share come last. Classes with such a shingle in common, in order of
+   size, are chained one to the next wherever sizes allow a link, within a task first, then across
+   tasks. No pair of a group is listed: the connected components are the candidate blocks.
 3. In each block (large ones are split into sub-blocks, and each pair of sub-blocks is a task), the
    sparse product accumulates overlap counts: rare columns by their few pairs, frequent ones by
    dense strips. Pairs below the bounds are dropped, links counted, and a spanning forest kept.
 
 Nulls and texts without words: an empty set, no links. Texts with fewer than n words: the whole
 sequence is one shingle. Repeated rows (and repeated doc_ids) each keep a row; rows with a null
-doc_id keep theirs, with the component of their class. Empty table: no rows. Other columns of the
-input are ignored.
+doc_id keep theirs, and link as others do (their component is null if it has no id at all). Empty table:
+no rows. Other columns of the input are ignored. Ids must be whole numbers, or text that is one; another
+text raises. Two shingles with one 64-bit hash would count as equal.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +34,16 @@ from pyspark.sql import functions as F
 from ploidlens.llm import common as C
 
 U64 = np.uint64
-#: Classes and shingles in a sub-block: 24 MB of hashes. A sub-block is sent once for each other of its cluster, so they are few.
-ROWS, SHINGLES = 6000, 3_000_000
+#: Classes and shingles in a sub-block at most (24 MB of hashes); a block has four sub-blocks if each gets LEAST classes.
+ROWS, SHINGLES, LEAST = 6000, 3_000_000, 512
 #: Columns with at most so many rows are multiplied pair by pair, others in dense strips.
 SPARSE = 12
-SIGNATURES = 1_000_000
-#: Classes and shingles in a sub-block of bitmaps.
-BIT_ROWS, BIT_SHINGLES = 8192, 64_000_000
+#: First shingles that a task holds at a time.
+SIGNATURES = 500_000
+#: Buckets of shingles, by the first bits of their hashes, whose counts order them; a segment is one row.
+BITS, SEGMENT = 22, 1 << 16
+#: Candidates up to this number go to all tasks (32 bytes each), so that only their texts are moved.
+FEW = 1_000_000
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -65,209 +68,113 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-class Ranges:
-    """Size ranges, and how many parts the sets of each range are cut into."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.lows, self.parts, self.slack = num, den, [], [], []
-
-    def upto(self, n: int) -> None:
-        low = self.lows[-1] + self.step(self.lows[-1]) if self.lows else 1
-        while low <= n * self.den // self.num + 1:
-            high = low + self.step(low) - 1
-            h = 2 * high * (self.den - self.num) // (self.den + self.num)
-            s = 0
-            for _ in range(8 if h >= 8 else 0):  # more than the empty parts that the smallest sets cut so are likely to have
-                empty = (h + 1 + s) * math.exp(-low * self.num / self.den / (h + 1 + s))
-                s = math.ceil(empty + 2.5 * math.sqrt(empty))
-            self.lows.append(low)
-            self.parts.append(h + 1 + s)
-            self.slack.append(s)
-            low = high + 1
-
-    @staticmethod
-    def step(low: int) -> int:
-        return max(1, low * 2 // 5)
-
-    def of(self, n: int) -> list[int]:
-        """The range of size n and those of larger sets that a set of n can link with."""
-        if not self.lows or self.lows[-1] <= n * self.den // self.num:
-            self.upto(2 * n)
-        j = int(np.searchsorted(self.lows, n, "right")) - 1
-        out = [j]
-        while self.lows[j + 1] * self.num <= n * self.den:
-            j += 1
-            out.append(j)
-        return out
+def prefix(x: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of a set, the first len(x) - ceil(len(x) num/den) + 1 elements by level (of their buckets), then hash; as level and hash in one."""
+    n = len(x) - -(-num * len(x) // den) + 1
+    key = level[(x >> U64(64 - BITS)).astype(np.int64)].astype(U64) << U64(56) | C.mix(x + U64(99)) >> U64(8)
+    return np.partition(key, n - 1)[:n] if n < len(key) else key
 
 
-def _cut(x: np.ndarray, seed: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each of k parts of a set, and the sizes of the parts."""
-    y = C.mix(x + U64(seed))
-    part = ((y >> U64(32)) * U64(k) >> U64(32)).astype(np.int64)
-    z = C.mix(y)
-    low = np.bincount(part, (z & U64(0xFFFFFFFF)).astype(np.float64), k)
-    high = np.bincount(part, (z >> U64(32)).astype(np.float64), k)
-    sums = low.astype(U64) + (high.astype(U64) << U64(32))
-    return C.mix(C.mix(sums + U64(seed)) + np.arange(k, dtype=U64)), np.bincount(part, minlength=k)
+def _node(x: np.ndarray) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(x.tobytes())
+    return tuple(v - (v >> 63 << 64) for v in (h >> 64, h & (1 << 64) - 1))
 
 
-def signatures(x: np.ndarray, ranges: Ranges) -> np.ndarray:
-    """Hashes of which linked sets (of other elements) share at least one."""
-    out = []
-    for j in ranges.of(len(x)):
-        k, slack = ranges.parts[j], ranges.slack[j]
-        if k == 1:
-            continue  # only equal sets link here
-        seed = (j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-        sig, size = _cut(x, seed, k)
-        out.append(sig[size > 0])
-        empty = np.flatnonzero(size == 0)
-        if len(empty) > slack:  # sets may agree in empty parts only: there another cut decides
-            other, _ = _cut(x, seed ^ 0x5851F42D4C957F2D, k - slack)
-            out += [C.mix(other + C.mix(np.array([p], U64))) for p in empty]
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
-def bitmap(x: np.ndarray) -> np.ndarray:
-    """Parities of the elements that fall on each bit; two or more bits for three elements, at least 64."""
-    if not len(x):
-        return np.zeros(0, U64)
-    size = 1 << max(6, (len(x) - 1).bit_length())
-    odd = np.bincount((C.mix(x) & U64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
-
-
-def _features(n: int, num: int = 1, den: int = 1, sigs: bool = False, sets_too: bool = False, aligned: bool = False):
+FEATURES = f"id long, t long, n long, node {C.NODE}, segment int, counts binary"
+
+
+def _features(n: int):
+    """For each row its set's size and class; and for each task counts of the buckets of its shingles, each class once."""
+
     def run(batches):
-        ranges = Ranges(num, den)
-        for b in batches if aligned else C.slices(batches):
-            sets = shingle_sets(b.column(1).to_pylist(), n)
-            node = [xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets]
-            node = [v - (v >> 63 << 64) if len(x) else None for v, x in zip(node, sets)]
-            if sigs:
-                yield [(v, signatures(x, ranges).view(np.int64)) for v, x in zip(node, sets) if len(x)]
-                continue
-            size = pa.array([len(x) for x in sets], pa.int64())
-            cols = [b.column(0), size, pa.array(node, pa.int64())]
-            if sets_too:
-                yield pa.record_batch([*cols, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "node", "x"])
-            else:
-                yield pa.record_batch([*cols, pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], ["id", "n", "node", "bits"])
+        count, seen = np.zeros(1 << BITS, np.uint32), set()
+        for b in C.slices(batches, 2):
+            sets = shingle_sets(b.column(2).to_pylist(), n)
+            node = [_node(x) for x in sets]
+            new = [x for x, v in zip(sets, node) if len(x) and not (v in seen or seen.add(v))]
+            if new:
+                count += np.bincount((np.concatenate(new) >> U64(64 - BITS)).astype(np.int64), minlength=len(count)).astype(np.uint32)
+            full = np.array([len(x) > 0 for x in sets], bool)
+            v = np.array(node, np.int64).reshape(-1, 2)
+            v = pa.StructArray.from_arrays([pa.array(v[:, 0].copy()), pa.array(v[:, 1].copy())], ["a", "b"], mask=pa.array(~full))
+            m = len(sets)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(x) for x in sets], pa.int64()), v, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "t", "n", "node", "segment", "counts"])
+        for k in range(0, len(count) // SEGMENT if seen else 0):
+            part = pa.compress(count[k * SEGMENT : (k + 1) * SEGMENT].tobytes(), "zstd", asbytes=True)
+            yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, v.type), pa.array([k], pa.int32()), pa.array([part], pa.binary())], ["id", "t", "n", "node", "segment", "counts"])
 
     return run
 
 
-def _chained(n: int, num: int, den: int):
-    """Within a task: edges between nodes with a signature in common, and one row for each signature."""
-
-    def done(held):
-        s = np.concatenate([x for _, x in held])
-        v = np.repeat(np.array([y for y, _ in held], np.int64), [len(x) for _, x in held])
-        o = np.lexsort((v, s))
-        s, v = s[o], v[o]
-        same = s[1:] == s[:-1]
-        e = np.stack([v[:-1], v[1:]], 1)[same]
-        e = C.forest(*e[e[:, 0] != e[:, 1]].T) if len(e) else C.NO_EDGE
-        first = np.concatenate([np.ones(min(1, len(s)), bool), ~same])
-        k = np.concatenate([s[first], e[:, 0]])
-        w = np.concatenate([v[first], e[:, 1]])
-        kind = np.repeat([False, True], [int(first.sum()), len(e)])
-        return pa.record_batch([pa.array(kind), pa.array(k), pa.array(w)], ["edge", "k", "v"])
+def levels(features: DataFrame) -> np.ndarray:
+    """For each bucket eight times the base-2 logarithm of its count, in a byte: 1 << BITS bytes whatever the input."""
 
     def run(batches):
-        held, total = [], 0
-        for found in _features(n, num, den, sigs=True)(batches):
-            held += found
-            total += sum(len(x) for _, x in found)
-            if total >= SIGNATURES:
-                yield done(held)
-                held, total = [], 0
-        if held:
-            yield done(held)
+        for (k,), t in C.groups_of(batches, ["segment"]):
+            total = np.zeros(SEGMENT)
+            for x in t.column("counts").to_pylist():
+                total += np.frombuffer(pa.decompress(x, 4 * SEGMENT, "zstd"), np.uint32)
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()], pa.binary())], ["segment", "level"])
+
+    out = np.zeros(1 << BITS, np.uint8)
+    rows = features.filter("segment is not null").select("segment", "counts").repartition("segment").sortWithinPartitions("segment")
+    for r in rows.mapInArrow(C.released(run), "segment int, level binary").collect():  # 64 rows of 64 KB
+        out[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["level"], np.uint8)
+    return out
 
-    return run
 
+CHAIN = f"k long, n long, node {C.NODE}, u {C.NODE}"
 
-def _folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """Bitmaps, a row each, made shorter: the parity of a sum is the sum of parities."""
-    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), 1)
 
+def _chained(level, n: int, num: int, den: int):
+    """Rows (k, n, node) of first shingles k that others may have, too, and edges (node, u) between those of this task.
 
-def _alike(num: int, den: int):
-    """For each pair of cells: a spanning forest of the pairs that sizes and bitmaps don't rule out."""
+    Classes of one k in order of size are chained wherever neighbours may be linked by size. What is between
+    two kept rows of the chain is within the ratio of both, so that other tasks' rows needn't meet it: in each
+    range of sizes that is no wider than the ratio, the first and last stay."""
+
+    def done(keys, sizes, own):
+        s = np.concatenate(keys).view(np.int64)
+        per = [len(k) for k in keys]
+        z, v = np.repeat(np.array(sizes, np.int64), per), np.repeat(np.arange(len(per)), per)
+        o = np.lexsort((z, s))
+        s, z, v = s[o], z[o], v[o]
+        same = s[1:] == s[:-1]
+        link = same & (z[1:] * num <= z[:-1] * den)
+        e = C.forest(v[:-1][link], v[1:][link]) if link.any() else C.NO_EDGE
+        cell = np.floor(np.log(z) / (np.log(den / num) * 0.9999)) if den > num else z
+        first = np.concatenate([[True], ~same | (cell[1:] != cell[:-1])])
+        keep = np.flatnonzero(first | np.concatenate([first[1:], [True]]))
+        own = np.array(own, np.int64).reshape(-1, 2)
+        as_node = lambda at: pa.StructArray.from_arrays([pa.array(own[at, 0].copy()), pa.array(own[at, 1].copy())], ["a", "b"])
+        m = len(e)
+        yield pa.record_batch([pa.array(s[keep]), pa.array(z[keep]), as_node(v[keep]), pa.nulls(len(keep), as_node(v[:0]).type)], ["k", "n", "node", "u"])
+        if m:
+            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), as_node(e[:, 1]), as_node(e[:, 0])], ["k", "n", "node", "u"])
 
     def run(batches):
-        for (_, i, j), t in C.groups_of(batches, ["cl", "si", "sj"]):
-            o = np.lexsort((t.column("node").to_numpy(), t.column("n").to_numpy()))
-            node, n, cell = (t.column(c).to_numpy()[o] for c in ("node", "n", "s"))
-            raw = t.column("bits").to_pylist()
-            words = np.array([len(raw[k]) // 8 for k in o])
-            first = {int(w): np.searchsorted(words, w) for w in np.unique(words)}  # longer bitmaps are of larger sets
-            bits = {w: np.frombuffer(b"".join(raw[k] for k in o[words == w]), U64).reshape(-1, w) for w in first}
-            p, q = np.flatnonzero(cell == i), np.flatnonzero(cell == j)
-            edges, lo = [], 0
-            step = max(64, 1_000_000 // max(1, len(q)))
-            while lo < len(p):  # rows in order of size, all with bitmaps of one length
-                r = p[lo : lo + step]
-                r = r[words[r] == words[r[0]]]
-                lo += len(r)
-                c = q[(n[q] * den >= n[r[0]] * num) & (n[q] * num <= n[r[-1]] * den)]
-                at = int(words[r[0]])
-                for w in map(int, np.unique(words[c])):
-                    d = c[words[c] == w]
-                    least = min(w, at)
-                    a, b = _folded(bits[at][r - first[at]], least), _folded(bits[w][d - first[w]], least)
-                    differ = np.zeros((len(r), len(d)), np.int32)
-                    for k in range(least):
-                        differ += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
-                    total = n[r][:, None] + n[d][None, :]
-                    u, v = np.nonzero(differ.astype(np.int64) * (den + num) <= total * (den - num))
-                    u, v = r[u], d[v]
-                    if i == j:
-                        u, v = u[u < v], v[u < v]
-                    if len(u):
-                        edges.append(C.forest(u, v))
-            if edges:
-                e = node[C.forest(*np.concatenate(edges).T)]
-                yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+        keys, sizes, own, seen, total = [], [], [], set(), 0
+        for b in C.slices(batches, 2):
+            for x in shingle_sets(b.column(2).to_pylist(), n):
+                if not len(x) or (v := _node(x)) in seen:
+                    continue
+                seen.add(v)
+                keys.append(prefix(x, level.value, num, den))
+                sizes.append(len(x))
+                own.append(v)
+                total += len(keys[-1])
+                if total >= SIGNATURES:
+                    yield from done(keys, sizes, own)
+                    keys, sizes, own, total = [], [], [], 0
+        if keys:
+            yield from done(keys, sizes, own)
 
     return run
 
 
-def alike(clusters: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges between the nodes of one cluster that may be linked by size and bitmap.
-
-    A cluster of few nodes is one cell. Others have cells by size, split further by hash: sizes of
-    cells that aren't neighbours differ by more than den/num. A node is sent to its own cell's parts
-    and its neighbours', each pair of parts being a task.
-    """
-    rows = clusters.select("node", F.col("comp").alias("cl")).join(nodes.select("node", "n", "bits"), "node")
-    ratio = math.log(den / num) * 1.0001 + 1e-9
-    rows = rows.withColumn("g", F.floor(F.log(F.col("n").cast("double")) / ratio).cast("long"))
-    cells = rows.groupBy("cl", "g").agg(F.count("*").alias("rows"), F.sum("n").alias("sum"))
-    whole, by = Window.partitionBy("cl"), Window.partitionBy("cl").orderBy("g")
-    few = (F.sum("rows").over(whole) <= BIT_ROWS) & (F.sum("sum").over(whole) <= BIT_SHINGLES)
-    parts = F.greatest(F.ceil(F.col("rows") / BIT_ROWS), F.ceil(F.col("sum") / BIT_SHINGLES)).cast("long")
-    cells = cells.select("cl", "g", few.alias("few"), parts.alias("k"))
-    cells = cells.select("*", *(f("g").over(by).alias(f"g{x}") for f, x in ((F.lag, 0), (F.lead, 1))), *(f("k").over(by).alias(f"k{x}") for f, x in ((F.lag, 0), (F.lead, 1))))
-
-    def tags(g, k):
-        return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda b: F.shiftleft(g, 32) + b)
-
-    none = F.array().cast("array<bigint>")
-    near = [F.when(F.col(f"g{x}") == F.col("g") + d, tags(F.col(f"g{x}"), F.col(f"k{x}"))).otherwise(none) for x, d in ((0, -1), (1, 1))]
-    others = F.when(F.col("few"), F.array(F.lit(0).cast("long"))).otherwise(F.concat(tags(F.col("g"), F.col("k")), *near))
-    cells = cells.select("cl", "g", "few", "k", others.alias("others"))
-    own = F.when(F.col("few"), F.lit(0)).otherwise(F.shiftleft("g", 32) + F.pmod(F.xxhash64("node"), F.col("k")))
-    x = rows.join(cells, ["cl", "g"]).select("cl", "node", "n", "bits", own.alias("s"), F.explode("others").alias("o"))
-    x = x.select("cl", F.least("s", "o").alias("si"), F.greatest("s", "o").alias("sj"), "s", "node", "n", "bits")
-    return x.repartition("cl", "si", "sj").sortWithinPartitions("cl", "si", "sj").mapInArrow(C.released(_alike(num, den)), "u long, v long")
-
-
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrices of sets a and b: counts of common elements."""
-    out = np.zeros((len(a), len(b)), np.float32)
+    out = np.zeros((len(a), len(b)))
     va, ra = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
     vb, rb = np.concatenate(b), np.repeat(np.arange(len(b)), [len(x) for x in b])
     oa, ob = np.argsort(va, kind="stable"), np.argsort(vb, kind="stable")
@@ -303,31 +210,41 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _shingled(n: int):
+    """The sets again, of the candidates only; texts whose hash is a candidate's but whose set isn't go."""
+
+    def run(batches):
+        for b in C.slices(batches, 0):
+            sets = shingle_sets(b.column(0).to_pylist(), n)
+            ok = [_node(x) == tuple(v) for x, v in zip(sets, C.pairs(b.column(1)).tolist())]
+            yield pa.record_batch([pa.array([x.tobytes() for x in sets], pa.binary()), *b.columns[1:]], ["x", *b.schema.names[1:]]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
 def _blocks(num: int, den: int):
     """For each pair of sub-blocks: edges of a spanning forest of its links, and links of each node."""
 
     def run(batches):
-        for (_, i, j), t in C.groups_of(batches, ["cl", "bi", "bj"]):
-            node, at = np.unique(t.column("node").to_numpy(), return_index=True)  # a repeated row counts once
-            block = t.column("b").to_numpy()[at]
-            copies = t.column("copies").to_numpy()[at]
-            x = t.column("x").to_pylist()
-            sets = [np.frombuffer(x[k], U64) for k in at]
-            o = np.lexsort((np.array([len(s) for s in sets]), block))
+        for (_, _, i, j), t in C.groups_of(batches, ["ca", "cb", "bi", "bj"]):
+            node, at = np.unique(C.pairs(t.column("node").combine_chunks()), return_index=True)  # a repeated row counts once
+            block, copies, x = t.column("b").to_numpy()[at], t.column("copies").to_numpy()[at], t.column("x").take(pa.array(at)).to_pylist()
+            sets = [np.frombuffer(v, U64) for v in x]
+            o = np.lexsort((np.array([len(v) for v in sets]), block))
             node, block, copies, sets = node[o], block[o], copies[o], [sets[k] for k in o]
             p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
             if not len(p) or not len(q):
                 continue
-            n = np.array([len(s) for s in sets], np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
             edges, links = [], np.zeros(len(node), np.int64)
             step = max(256, 2_000_000 // len(q))
             for lo in range(0, len(p), step):  # rows in order of size: others than these are out of bounds
                 r = p[lo : lo + step]
-                c = q[(n[q] * den >= n[r[0]] * num) & (n[q] * num <= n[r[-1]] * den)]
+                c = q[(size[q] * den >= size[r[0]] * num) & (size[q] * num <= size[r[-1]] * den)]
                 if not len(c):
                     continue
-                o = overlaps([sets[k] for k in r], [sets[k] for k in c]).astype(np.float64)
-                hit = o * (den + num) >= num * (n[r][:, None] + n[c][None, :])
+                o = overlaps([sets[k] for k in r], [sets[k] for k in c])
+                hit = o * (den + num) >= num * (size[r][:, None] + size[c][None, :])
                 u, v = np.nonzero(hit)
                 u, v = r[u], c[v]
                 if i == j:
@@ -336,65 +253,91 @@ def _blocks(num: int, den: int):
                     links += np.bincount(u, copies[v], len(node)).astype(np.int64) + np.bincount(v, copies[u], len(node)).astype(np.int64)
                     edges.append(C.forest(u, v))
             e = np.concatenate(edges) if edges else C.NO_EDGE
-            e = node[C.forest(*e.T)] if len(e) else C.NO_EDGE
+            e = C.forest(*e.T) if len(e) else C.NO_EDGE
             own = np.flatnonzero(links)
-            yield pa.record_batch([pa.array(np.concatenate([e[:, 0], node[own]])), pa.array(np.concatenate([e[:, 1], node[own]])), pa.array(np.concatenate([np.zeros(len(e), np.int64), links[own]]))], ["u", "v", "links"])
+            u, v = np.concatenate([node[e[:, 0]], node[own]]), np.concatenate([node[e[:, 1]], node[own]])
+            yield pa.record_batch([C.nodes(u), C.nodes(v), pa.array(np.concatenate([np.zeros(len(e), np.int64), links[own]]))], ["u", "v", "links"])
 
     return run
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+
+
+def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Rows (id, t, n, node), staged, t being a hash of the text; and of each class (node) comp, rep (smallest id), own_t (smallest t), copies and n_links."""
+    base = _rows(docs, id_col, text_col)
+    found = C.staged(base.mapInArrow(C.released(_features(n)), FEATURES), "features")
+    level = docs.sparkSession.sparkContext.broadcast(levels(found))
+    rows = found.filter("segment is null").select("id", "t", "n", "node")
+    own = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
+    nodes = rows.filter("node is not null").groupBy("node").agg(own.alias("own"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    nodes = C.staged(nodes.select("node", F.col("own.id").alias("rep"), F.col("own.t").alias("own_t"), "copies", "n"), "nodes")
+    parts = C.staged(_near(base.mapInArrow(C.released(_chained(level, n, num, den)), CHAIN), num, den), "near")
+    clusters = C.components(parts)
+    many = clusters.select("node", F.col("comp").alias("cl")).join(nodes, "node")
+    fewest = F.ceil(F.count("*") / F.greatest(F.lit(LEAST), F.least(F.lit(ROWS), F.count("*") / 4)))
+    total = many.groupBy("cl").agg(F.greatest(fewest, F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+    many = many.join(total, "cl").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    many = C.staged(many.select(F.col("rep").alias("i"), F.col("own_t").alias("h"), "node", "cl", "b", "blocks", "copies"), "candidates")
+    if many.count() <= FEW:
+        many = F.broadcast(many)
+    x = base.join(many, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h")))
+    x = x.select("text", "node", F.col("cl.a").alias("ca"), F.col("cl.b").alias("cb"), "b", "copies", "blocks")
+    x = x.mapInArrow(C.released(_shingled(n)), f"x binary, node {C.NODE}, ca long, cb long, b int, copies long, blocks int")
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    x = x.withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o")
+    x = x.repartition("ca", "cb", "bi", "bj").sortWithinPartitions("ca", "cb", "bi", "bj")
+    links = C.staged(x.mapInArrow(C.released(_blocks(num, den)), f"{C.EDGES}, links long"), "links")
+    comp = C.components(links.filter("links = 0").select("u", "v"))
+    count = links.filter("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    whole = nodes.join(comp, "node", "left").join(count, "node", "left")
+    whole = whole.select("node", F.coalesce("comp", "node").alias("comp"), "rep", "own_t", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    whole = C.staged(whole, "classes")
+    C.dropped(parts, clusters, comp, links, nodes)
+    return rows, whole
+
+
+def _near(chain: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v): those of the tasks, and of neighbours in the order of size that share a first shingle and may be linked by size."""
+    before = F.lag(F.struct("n", "node")).over(Window.partitionBy("k").orderBy("n", "node"))
+    rows = chain.filter("k is not null").select("n", F.col("node").alias("v"), before.alias("p"))
+    rows = rows.filter((F.col("p.node") != F.col("v")) & (F.col("n") * num <= F.col("p.n") * den)).select(F.col("p.node").alias("u"), "v")
+    return chain.filter("u is not null").select("u", F.col("node").alias("v")).union(rows)
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents with |A & B| / |A | B| >= num/den over their n-word shingles are linked (num/den at least 1/2).
+    """Documents with |A & B| / |A | B| >= num/den over their n-word shingles are linked.
 
     Returns for each row: id_col, n_shingles, component_id (smallest id reachable by links, its own
     included) and n_links (of the row's class: documents it links with, equal sets included).
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = C.staged(base.mapInArrow(C.released(_features(n)), "id long, n long, node long, bits binary"), "features")
-    nodes = feats.filter("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    nodes = C.staged(nodes, "nodes")
-    parts = base.mapInArrow(C.released(_chained(n, num, den)), "edge boolean, k long, v long")
-    lag = F.lag("v").over(Window.partitionBy("edge", "k").orderBy("v"))
-    near = parts.select(F.when(F.col("edge"), F.col("k")).otherwise(lag).alias("u"), "v")
-    clusters = C.components(near.filter("u is not null and u <> v").distinct())
-    clusters = C.components(alike(clusters, nodes, num, den))
-    rows = clusters.select("node", F.col("comp").alias("cl")).join(nodes.drop("bits"), "node")
-    total = rows.groupBy("cl").agg(F.greatest(F.ceil(F.count("*") / ROWS), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(total, "cl").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select(F.col("rep").alias("id"), F.col("node").alias("own"), "cl", "b", "blocks", "copies")
-    x = base.join(rows, "id").select("id", "text", F.struct("own", "cl", "b", "blocks", "copies").alias("at"))
-    x = x.mapInArrow(C.released(_shingled(n)), "node long, cl long, b int, blocks int, copies long, x binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = x.withColumn("o", other).withColumn("bi", F.least("b", "o")).withColumn("bj", F.greatest("b", "o")).drop("o", "blocks")
-    x = x.repartition("cl", "bi", "bj").sortWithinPartitions("cl", "bi", "bj")
-    links = C.staged(x.mapInArrow(C.released(_blocks(num, den)), "u long, v long, links long"), "links")
-    comp = C.components(links.filter("links = 0").select("u", "v"))
-    count = links.filter("links > 0").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
-    whole = nodes.drop("bits").join(comp, "node", "left").join(count, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows, whole = classes(docs, n, num, den, id_col, text_col)
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    whole = whole.join(least, "comp").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = feats.select("id", "n", "node").join(whole, "node", "left")
+    whole = whole.join(least, "comp").select("node", "component_id", "n_links")
+    out = rows.select("id", "n", "node").join(whole, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _shingled(n: int):
-    """The sets again, of the classes' own rows only; rows of a repeated id with another text go."""
-
-    def run(batches):
-        for b in _features(n, sets_too=True, aligned=True)(_kept(C.slices(batches), at := [])):
-            s = at.pop(0)
-            node = b.column("node").fill_null(0)
-            own = s.field(0)
-            t = pa.record_batch([node, s.field(1), s.field(2), s.field(3), s.field(4), b.column("x")], ["node", "cl", "b", "blocks", "copies", "x"])
-            yield t.filter(pc.equal(node, own))
-
-    return run
-
-
-def _kept(batches, at: list):
-    for b in batches:
-        at.append(b.column(2))
-        yield b
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, of each component of linked documents one: that with the smallest id (null last), then hash of the text.
+
+    Rows without words are linked with nothing: all stay. Of rows with equal id and text one stays, the others being copies."""
+    rows, whole = classes(docs, n, num, den, id_col, text_col)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "own_t")).alias("f")
+    keep = whole.groupBy("comp").agg(first).select(F.col("f.rep").alias("i"), F.col("f.own_t").alias("h"))
+    left = rows.join(keep, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))).groupBy("i", "h").agg(F.count("*").alias("rows"))
+    empty = rows.filter("node is null").select(F.col("id").alias("i"), F.col("t").alias("h")).distinct().withColumn("rows", F.lit(1).cast("long"))
+    left = C.staged(left.union(empty), "kept")
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("i")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("h"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    once = packed.join(left.filter("rows = 1"), on, "left_semi").select("row.*")
+    twice = left.filter("rows > 1")
+    if twice.isEmpty():  # saves a second reading of docs
+        return once
+    more = packed.join(twice.select("i", "h"), on).groupBy("i", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(more.select("row.*"))
 
 
 SQL = r"""

@@ -50,8 +50,10 @@ def test_empty_tables(spark, docs):
 
 @pytest.mark.parametrize("num", [80, 90])
 def test_jaccard_in_small_cells_equals_brute_force(spark, monkeypatch, num):
-    monkeypatch.setattr(jaccard, "BIT_ROWS", 6)
     monkeypatch.setattr(jaccard, "ROWS", 4)
+    monkeypatch.setattr(jaccard, "LEAST", 2)
+    monkeypatch.setattr(jaccard, "FEW", 10)
+    monkeypatch.setattr(jaccard, "SIGNATURES", 50)
     rng = np.random.default_rng(num)
     passage = [f"p{k}" for k in range(60)]  # that all texts share, so that they are one candidate block
     texts = []
@@ -136,3 +138,14 @@ def test_copies_do_not_narrow_the_band_of_a_language(spark):
     df = spark.createDataFrame([(k, t, x) for k, (x, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
     lost = quality.judged(df).filter("not kept").select("row.lang", "row.text").collect()
     assert [(r["lang"], r["text"][:20]) for r in lost] == []
+
+
+def test_rows_without_an_id_link_as_others(spark):
+    w = [f"w{k}" for k in range(300)]
+    near = lambda k: " ".join(w[:k] + ["x"] + w[k + 1 :])
+    rows = [(1, " ".join(w)), (None, near(5)), (2, near(290)), (None, "one two three four"), (None, "one two three four"), (7, near(290)), (7, "an other text of seven"), (None, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in jaccard.jaccard_components(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 3), (None, 1, 3), (2, 1, 3), (7, 1, 3), (7, 7, 0), (None, None, 1), (None, None, 1), (None, None, 0), (8, 8, 0)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df, 3, 90, 100).collect()), key=repr)
+    assert kept == sorted([(1, " ".join(w)), (7, "an other text of seven"), (None, "one two three four"), (None, ""), (8, None)], key=repr)
