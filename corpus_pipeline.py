@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents. Null texts fail
 the quality rules. Repeated rows are near duplicates of each other, so one of them stays; rows with
-a null doc_id are kept by the second stage. Documents that the mix takes twice are packed twice.
+a null doc_id stay if their group has no other. Documents that the mix takes twice are packed twice.
 """
 
 from __future__ import annotations
@@ -26,12 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id."""
     common.tune(spark)
-    found = jaccard.jaccard_components(docs, SHINGLE, NUM, DEN)
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct()
-    keep = common.staged(keep, "keep")
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        docs = docs.filter("doc_id is null").union(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    return docs.join(keep.withColumnRenamed("doc_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return jaccard.one_of_each(docs, SHINGLE, NUM, DEN)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
