@@ -7,9 +7,12 @@ every pair. It is computed in blocks, and only in those that can hold a linked p
    form a class (a 128-bit hash of the set); only one row of the matrix stands for a class.
 2. Size bounds: a link of a set of n shingles needs ceil(n num/den) common ones. So of any one order
    of all shingles, the first n - ceil(n num/den) + 1 of two linked sets have one in common, and their
-   sizes are within the ratio num/den. The order is by how often a shingle occurs, rarest first (counts
-   of BUCKETS buckets, logarithms of which are 4 MB, which go to all tasks; any order gives the same
-   links, a good one fewer candidates): passages that many documents share come last. Classes with such a shingle in common, in order of
+   sizes are within the ratio num/den. The order is by how many classes a shingle occurs in, rarest first: the
+   columns of the matrix are dealt by hash to count them, and only entries of columns with two rows or
+   more return, to the tasks' shares of rows they came from. A set with too many shingles of its own has no
+   link and drops out; passages that many documents share come last. Columns of the most frequent shingles
+   (by counts of 1 << BITS buckets, 4 MB that go to all tasks) aren't dealt; they are the last in the order. Classes
+   with one of their first shingles in common, in order of
    size, are chained one to the next wherever sizes allow a link, within a task first, then across
    tasks. No pair of a group is listed: the connected components are the candidate blocks.
 3. In each block (large ones are split into sub-blocks, and each pair of sub-blocks is a task), the
@@ -28,6 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +42,12 @@ U64 = np.uint64
 ROWS, SHINGLES, LEAST = 6000, 3_000_000, 512
 #: Columns with at most so many rows are multiplied pair by pair, others in dense strips.
 SPARSE = 12
-#: First shingles that a task holds at a time.
-SIGNATURES = 500_000
-#: Buckets of shingles, by the first bits of their hashes, whose counts order them; a segment is one row.
+#: Entries of the matrix that a task holds at a time, and those of a shard of columns.
+ENTRIES, SHARD = 2_000_000, 1_500_000
+#: Buckets of shingles, by the first bits of their hashes, whose counts tell the most frequent; a segment is one row.
 BITS, SEGMENT = 22, 1 << 16
+#: A shingle whose bucket has over four times the mean count and this is among the most frequent.
+HEAVY = 4096
 #: Candidates up to this number go to all tasks (32 bytes each), so that only their texts are moved.
 FEW = 1_000_000
 
@@ -68,11 +74,22 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def prefix(x: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Of a set, the first len(x) - ceil(len(x) num/den) + 1 elements by level (of their buckets), then hash; as level and hash in one."""
-    n = len(x) - -(-num * len(x) // den) + 1
-    key = level[(x >> U64(64 - BITS)).astype(np.int64)].astype(U64) << U64(56) | C.mix(x + U64(99)) >> U64(8)
-    return np.partition(key, n - 1)[:n] if n < len(key) else key
+def needed(n, num: int, den: int):
+    """How many shingles of a set of n a linked set has, too, at least."""
+    return -(-num * n // den)
+
+
+def prefix(own: np.ndarray, often: np.ndarray, h: np.ndarray, size: np.ndarray, heavy: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which entries (own: row, often: classes with the shingle, two at least, h: its hash) are among the first of their row.
+
+    size, heavy: of each row, all its shingles and those of the most frequent. The shingles that a row has alone come
+    first, then these entries by often and h, then the most frequent."""
+    o = np.lexsort((h, often, own))
+    own = own[o]
+    have = np.bincount(own, minlength=len(size))
+    alone = size - heavy - have
+    first = size - needed(size, num, den) + 1 - alone
+    return o[np.arange(len(own)) - (np.cumsum(have) - have)[own] < first[own]]
 
 
 def _node(x: np.ndarray) -> tuple[int, int]:
@@ -106,72 +123,189 @@ def _features(n: int):
     return run
 
 
-def levels(features: DataFrame) -> np.ndarray:
-    """For each bucket eight times the base-2 logarithm of its count, in a byte: 1 << BITS bytes whatever the input."""
+def levels(features: DataFrame) -> tuple[np.ndarray, int]:
+    """For each bucket a byte, eight times the base-2 logarithm of its count (1 << BITS bytes whatever the input), and the least byte of the most frequent."""
 
     def run(batches):
         for (k,), t in C.groups_of(batches, ["segment"]):
             total = np.zeros(SEGMENT)
             for x in t.column("counts").to_pylist():
                 total += np.frombuffer(pa.decompress(x, 4 * SEGMENT, "zstd"), np.uint32)
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()], pa.binary())], ["segment", "level"])
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([total.sum()]), pa.array([np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()], pa.binary())], ["segment", "total", "level"])
 
-    out = np.zeros(1 << BITS, np.uint8)
+    out, total = np.zeros(1 << BITS, np.uint8), 0.0
     rows = features.filter("segment is not null").select("segment", "counts").repartition("segment").sortWithinPartitions("segment")
-    for r in rows.mapInArrow(C.released(run), "segment int, level binary").collect():  # 64 rows of 64 KB
+    for r in rows.mapInArrow(C.released(run), "segment int, total double, level binary").collect():  # 64 rows of 64 KB
         out[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(r["level"], np.uint8)
-    return out
+        total += r["total"]
+    return out, min(255, int(8 * np.log2(1 + HEAVY + 4 * total / len(out))))
 
 
-CHAIN = f"k long, n long, node {C.NODE}, u {C.NODE}"
+def _packed(x: np.ndarray, kind: str) -> bytes:
+    """An array with the bytes of like weight together, compressed; ascending ones as differences."""
+    x = x.astype(kind)
+    if kind == "<u8":
+        x = np.diff(x, prepend=x.dtype.type(0))
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(raw.tobytes(), "zstd", asbytes=True)
+
 
+def _unpacked(data: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd"), np.uint8).reshape(size, n).T
+    x = np.ascontiguousarray(raw).view(kind).ravel()
+    return np.cumsum(x, dtype=x.dtype) if kind == "<u8" else x
 
-def _chained(level, n: int, num: int, den: int):
-    """Rows (k, n, node) of first shingles k that others may have, too, and edges (node, u) between those of this task.
+
+#: What tasks send: entries of the matrix in `shard`, or (kind 1) rows of the share `share`, or (kind 2) rows of CHAIN as bytes.
+SENT = "shard int, share long, kind int, n long, h binary, own binary, extra binary"
+ENTRY, ROW, LINK = range(3)
+
+
+def _message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in SENT.split(", ")])
+
+
+def _reduced(k: np.ndarray, z: np.ndarray, v: np.ndarray, node: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of rows with first shingle k, size z and place v in node: rows (k, n, node, u) as longs, u being 0, 0 and n -1 for no edge.
 
     Classes of one k in order of size are chained wherever neighbours may be linked by size. What is between
     two kept rows of the chain is within the ratio of both, so that other tasks' rows needn't meet it: in each
     range of sizes that is no wider than the ratio, the first and last stay."""
+    o = np.lexsort((z, k))
+    k, z, v = k[o], z[o], v[o]
+    same = k[1:] == k[:-1]
+    link = same & (z[1:] * num <= z[:-1] * den)
+    e = C.forest(v[:-1][link], v[1:][link]) if link.any() else C.NO_EDGE
+    cell = np.floor(np.log(z) / (np.log(den / num) * 0.9999)) if den > num else z
+    first = np.concatenate([[True], ~same | (cell[1:] != cell[:-1])])
+    keep = np.flatnonzero(first | np.concatenate([first[1:], [True]]))
+    out = np.zeros((len(keep) + len(e), 6), np.int64)
+    out[: len(keep), 0], out[: len(keep), 1], out[: len(keep), 2:4] = k[keep].view(np.int64), z[keep], node[v[keep]]
+    out[len(keep) :, 1], out[len(keep) :, 2:4], out[len(keep) :, 4:] = -1, node[e[:, 1]], node[e[:, 0]]
+    return out
 
-    def done(keys, sizes, own):
-        s = np.concatenate(keys).view(np.int64)
-        per = [len(k) for k in keys]
-        z, v = np.repeat(np.array(sizes, np.int64), per), np.repeat(np.arange(len(per)), per)
-        o = np.lexsort((z, s))
-        s, z, v = s[o], z[o], v[o]
-        same = s[1:] == s[:-1]
-        link = same & (z[1:] * num <= z[:-1] * den)
-        e = C.forest(v[:-1][link], v[1:][link]) if link.any() else C.NO_EDGE
-        cell = np.floor(np.log(z) / (np.log(den / num) * 0.9999)) if den > num else z
-        first = np.concatenate([[True], ~same | (cell[1:] != cell[:-1])])
-        keep = np.flatnonzero(first | np.concatenate([first[1:], [True]]))
-        own = np.array(own, np.int64).reshape(-1, 2)
-        as_node = lambda at: pa.StructArray.from_arrays([pa.array(own[at, 0].copy()), pa.array(own[at, 1].copy())], ["a", "b"])
-        m = len(e)
-        yield pa.record_batch([pa.array(s[keep]), pa.array(z[keep]), as_node(v[keep]), pa.nulls(len(keep), as_node(v[:0]).type)], ["k", "n", "node", "u"])
-        if m:
-            yield pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), as_node(e[:, 1]), as_node(e[:, 0])], ["k", "n", "node", "u"])
+
+def _dealt(level, most: int, n: int, num: int, den: int, shards: int):
+    """The entries of a task's rows, each class once, by shards of columns; the rows; and the chains of the most frequent shingles."""
+
+    def done(sets, own, share):
+        size, node = np.array([len(x) for x in sets], np.int64), np.array(own, np.int64).reshape(-1, 2)
+        h, v = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        rank = level.value[(h >> U64(64 - BITS)).astype(np.int64)]
+        often = rank >= most
+        heavy = np.bincount(v[often], minlength=len(sets))
+        place = share % shards
+        out = [(place, share, ROW, len(sets), _packed(node.ravel(), "<i8"), _packed(size, "<i8"), _packed(heavy, "<i8"))]
+        key = rank[often].astype(U64) << U64(56) | C.mix(h[often] + U64(99)) >> U64(8)
+        at = v[often]
+        o = np.lexsort((key, at))
+        at, key = at[o], key[o]
+        nth = np.arange(len(at)) - (np.cumsum(heavy) - heavy)[at]
+        use = nth < (heavy - needed(size, num, den) + 1)[at]
+        if use.any():
+            c = _reduced(key[use], size[at[use]], at[use], node, num, den)
+            out.append((place, share, LINK, len(c), _packed(c.ravel(), "<i8"), b"", b""))
+        h, v = h[~often], v[~often]
+        o = np.argsort(h)
+        h, v = h[o], v[o]
+        ends = np.searchsorted((h >> U64(32)) * U64(shards) >> U64(32), np.arange(shards + 1))
+        a = node[:, 0].astype("<i8").tobytes()
+        out += [(k, share, ENTRY, hi - lo, _packed(h[lo:hi], "<u8"), _packed(v[lo:hi], "<u4"), a) for k, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist())) if hi > lo]
+        yield _message(out)
 
     def run(batches):
-        keys, sizes, own, seen, total = [], [], [], set(), 0
+        sets, own, seen, total, share = [], [], set(), 0, TaskContext.get().partitionId() << 32
         for b in C.slices(batches, 2):
             for x in shingle_sets(b.column(2).to_pylist(), n):
                 if not len(x) or (v := _node(x)) in seen:
                     continue
                 seen.add(v)
-                keys.append(prefix(x, level.value, num, den))
-                sizes.append(len(x))
+                sets.append(x)
                 own.append(v)
-                total += len(keys[-1])
-                if total >= SIGNATURES:
-                    yield from done(keys, sizes, own)
-                    keys, sizes, own, total = [], [], [], 0
-        if keys:
-            yield from done(keys, sizes, own)
+                total += len(x)
+                if total >= ENTRIES:
+                    yield from done(sets, own, share)
+                    sets, own, total, share = [], [], 0, share + 1
+        if sets:
+            yield from done(sets, own, share)
+
+    return run
+
+
+def _counted(batches):
+    """For each shard, its entries in columns of two classes or more, sent back to their shares with the columns' counts."""
+    for (shard,), t in C.groups_of(batches, ["shard"]):
+        kind = t.column("kind").to_numpy()
+        rest = t.filter(pa.array(kind != ENTRY))
+        if rest.num_rows:
+            yield from rest.combine_chunks().to_batches()
+        held = [r for r in t.filter(pa.array(kind == ENTRY)).to_pylist()]
+        if not held:
+            continue
+        h = np.concatenate([_unpacked(r["h"], r["n"], "<u8") for r in held])
+        own = [_unpacked(r["own"], r["n"], "<u4") for r in held]
+        a = np.concatenate([np.frombuffer(r["extra"], "<i8")[v] for r, v in zip(held, own)])
+        place = np.repeat(np.arange(len(held)), [len(v) for v in own])
+        own = np.concatenate(own)
+        o = np.lexsort((a, h))
+        new = np.concatenate([[True], h[o][1:] != h[o][:-1]])
+        differ = new | np.concatenate([[True], a[o][1:] != a[o][:-1]])  # a class that several tasks have counts once
+        column = np.cumsum(new) - 1
+        often = np.zeros(len(h), np.int64)
+        often[o] = np.bincount(column, differ)[column].astype(np.int64)
+        use = np.flatnonzero(often > 1)
+        use = use[np.lexsort((h[use], place[use]))]
+        ends = np.searchsorted(place[use], np.arange(len(held) + 1))
+        out = []
+        for r, lo, hi in zip(held, ends.tolist(), ends[1:].tolist()):
+            if hi > lo:
+                k = use[lo:hi]
+                out.append((shard, r["share"], ENTRY, hi - lo, _packed(h[k], "<u8"), _packed(own[k], "<u4"), _packed(often[k], "<u4")))
+        if out:
+            yield _message(out)
+
+
+def _firsts(num: int, den: int):
+    """For each share, the chains of its rows' first shingles."""
+
+    def run(batches):
+        for _, t in C.groups_of(batches, ["share"]):
+            found = []
+            got = t.to_pylist()
+            for r in got:
+                if r["kind"] == LINK:
+                    found.append(_unpacked(r["h"], 6 * r["n"], "<i8").reshape(-1, 6))
+                elif r["kind"] == ROW:
+                    m = r["n"]
+                    node, size, heavy = _unpacked(r["h"], 2 * m, "<i8").reshape(-1, 2), _unpacked(r["own"], m, "<i8"), _unpacked(r["extra"], m, "<i8")
+            held = [r for r in got if r["kind"] == ENTRY]
+            if held:
+                h, own, often = (np.concatenate([_unpacked(r[c], r["n"], k) for r in held]) for c, k in (("h", "<u8"), ("own", "<u4"), ("extra", "<u4")))
+                own = own.astype(np.int64)
+                at = prefix(own, often, h, size, heavy, num, den)
+                if len(at):
+                    found.append(_reduced(h[at], size[own[at]], own[at], node, num, den))
+            for c in found:
+                edge = c[:, 1] < 0
+                pair = lambda x, none: pa.StructArray.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"], mask=pa.array(none))
+                yield pa.record_batch([pa.array(c[:, 0].copy(), mask=edge), pa.array(c[:, 1].copy(), mask=edge), pair(c[:, 2:4], np.zeros(len(c), bool)), pair(c[:, 4:], ~edge)], ["k", "n", "node", "u"])
 
     return run
 
 
+CHAIN = f"k long, n long, node {C.NODE}, u {C.NODE}"
+
+
+def chains(base: DataFrame, level, most: int, entries: int, n: int, num: int, den: int) -> DataFrame:
+    """Rows (k, n, node) of first shingles k that others may have, too, and edges (u, node) between those of a share."""
+    shards = max(1, -(-entries // SHARD))
+    sent = base.mapInArrow(C.released(_dealt(level, most, n, num, den, shards)), SENT)
+    back = sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(C.released(_counted), SENT)
+    return back.repartition("share").sortWithinPartitions("share").mapInArrow(C.released(_firsts(num, den)), CHAIN)
+
+
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrices of sets a and b: counts of common elements."""
     out = np.zeros((len(a), len(b)))
@@ -269,12 +403,14 @@ def classes(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
     """Rows (id, t, n, node), staged, t being a hash of the text; and of each class (node) comp, rep (smallest id), own_t (smallest t), copies and n_links."""
     base = _rows(docs, id_col, text_col)
     found = C.staged(base.mapInArrow(C.released(_features(n)), FEATURES), "features")
-    level = docs.sparkSession.sparkContext.broadcast(levels(found))
+    level, most = levels(found)
+    level = docs.sparkSession.sparkContext.broadcast(level)
     rows = found.filter("segment is null").select("id", "t", "n", "node")
     own = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
     nodes = rows.filter("node is not null").groupBy("node").agg(own.alias("own"), F.count("*").alias("copies"), F.first("n").alias("n"))
     nodes = C.staged(nodes.select("node", F.col("own.id").alias("rep"), F.col("own.t").alias("own_t"), "copies", "n"), "nodes")
-    parts = C.staged(_near(base.mapInArrow(C.released(_chained(level, n, num, den)), CHAIN), num, den), "near")
+    entries = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = C.staged(_near(chains(base, level, most, entries, n, num, den), num, den), "near")
     clusters = C.components(parts)
     many = clusters.select("node", F.col("comp").alias("cl")).join(nodes, "node")
     fewest = F.ceil(F.count("*") / F.greatest(F.lit(LEAST), F.least(F.lit(ROWS), F.count("*") / 4)))

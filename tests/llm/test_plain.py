@@ -172,19 +172,33 @@ def test_kneser_ney_is_a_distribution():
         assert abs(m.lower(3, h * 5 + np.arange(5)).sum() - 1) < 1e-9
 
 
-def test_jaccard_prefixes_lose_no_link():
-    rng = np.random.default_rng(3)
-    level = rng.integers(0, 256, 1 << jaccard.BITS).astype(np.uint8)
-    for num in (90, 80):
-        for n in (1, 2, 5, 10, 24, 60, 300, 2000):
-            for _ in range(60):
-                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-                drop = rng.integers(0, max(1, int(n * (100 - num) / 100)) + 1)
-                add = rng.integers(0, max(1, int(n * (100 - num) / 100)) + 1)
-                b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64)]))
-                o = len(np.intersect1d(a, b))
-                if len(b) and 100 * o >= num * (len(a) + len(b) - o):
-                    assert np.intersect1d(jaccard.prefix(a, level, num, 100), jaccard.prefix(b, level, num, 100)).size
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_prefixes_lose_no_link(num):
+    rng = np.random.default_rng(num)
+    pool = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
+    sets = []
+    for n in (1, 2, 5, 10, 24, 60, 300):
+        for _ in range(8):
+            a = np.unique(rng.choice(pool, n))
+            sets.append(a)
+            for _ in range(4):
+                b = rng.permutation(a)[rng.integers(0, 1 + len(a) * (100 - num) // 100) :]
+                sets.append(np.unique(np.concatenate([b, rng.choice(pool, rng.integers(0, 1 + len(a) // 10))])))
+    sets = list({x.tobytes(): x for x in sets if len(x)}.values())
+    h, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, often = np.unique(h, return_inverse=True, return_counts=True)
+    often, size = often[at], np.array([len(x) for x in sets])
+    use = np.flatnonzero(often > 1)
+    first = use[jaccard.prefix(own[use], often[use], h[use], size, np.zeros(len(sets), np.int64), num, 100)]
+    keys = [set(h[first[own[first] == k]].tolist()) for k in range(len(sets))]
+    links = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            o = len(np.intersect1d(a, b))
+            if 100 * o >= num * (len(a) + len(b) - o):
+                links += 1
+                assert keys[i] & keys[j]
+    assert links > 50
 
 
 def test_overlap_product():

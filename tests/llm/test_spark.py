@@ -48,12 +48,14 @@ def test_empty_tables(spark, docs):
         assert df.count() == 0
 
 
-@pytest.mark.parametrize("num", [80, 90])
-def test_jaccard_in_small_cells_equals_brute_force(spark, monkeypatch, num):
+@pytest.mark.parametrize("num,heavy", [(80, 4096), (80, 3), (90, 4096), (90, 9)])
+def test_jaccard_in_small_cells_equals_brute_force(spark, monkeypatch, num, heavy):
     monkeypatch.setattr(jaccard, "ROWS", 4)
     monkeypatch.setattr(jaccard, "LEAST", 2)
     monkeypatch.setattr(jaccard, "FEW", 10)
-    monkeypatch.setattr(jaccard, "SIGNATURES", 50)
+    monkeypatch.setattr(jaccard, "ENTRIES", 900)
+    monkeypatch.setattr(jaccard, "SHARD", 1500)
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
     rng = np.random.default_rng(num)
     passage = [f"p{k}" for k in range(60)]  # that all texts share, so that they are one candidate block
     texts = []
