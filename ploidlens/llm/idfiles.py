@@ -3,10 +3,15 @@
 A block holds whole documents. Its ids are cut into lanes, coded side by side with one shared model
 that starts from nothing in each block, so that a block can be read alone:
 
-- order 2 and order 1: the id that last followed the two (one) ids before, with a confidence;
+- order 2 and order 1: for the two ids (the id) before, the two ids that follow most often, with counts of
+  each and of all others, that decay; a share of the probability stays for what a context hasn't met;
 - order 0: adaptive counts of all ids;
-- mixing: for each pair of confidences, adaptive weights of the three predictions. The interval of
-  an id is that of the highest order that predicts it, or its share of the rest by order 0.
+- mixing: p = w2 p2 + w1 p1 + w0 p0, with weights for each pair of confidences of orders 2 and 1, learned from
+  what each order's share was of the probabilities of the ids coded. An id that orders 2 and 1 both predict
+  gets the sum of their shares. What they don't assign goes to order 0.
+
+The ids that orders 2 and 1 predict have their intervals first, then all ids by order 0 in what is left (so an id
+predicted above has, besides, an interval there that isn't used).
 
 A 64-bit carryless range coder codes the intervals, 16 bits at a time. A block has a CRC-32 of all
 that follows it in the block, and one of its ids; a reader that meets another value raises ValueError.
@@ -31,62 +36,127 @@ from ploidlens.llm import common as C
 from ploidlens.llm.tokens import Encoder
 
 U64 = np.uint64
-MAGIC = b"PLI1"
+MAGIC = b"PLI2"
 HEAD = struct.Struct("<4sIIIIII")  # magic, CRC of the rest, documents, ids, symbols, lanes, CRC of the ids
 #: Ids after which a block ends; lanes at most, and ids in a lane at least.
-BLOCK, LANES, LANE = 1 << 19, 2048, 192
-SCALE, TOTAL, STEP = 1 << 10, 1 << 20, 24
+BLOCK, LANES, LANE = 1 << 21, 4096, 192
 TOP, LOW = U64(1 << 48), U64((1 << 32) - 1)
-ORDER2 = 18
+#: Contexts of order 2 (bits of their hash); bits of the shares of the mix, of weights, and of p2 and p1.
+ORDER2, UNIT, WEIGHT, PART = 19, 16, 12, 12
+#: Steps from one adjustment of the weights, and of order 0, to the next; every step is used before the first.
+OFTEN, SELDOM = 4, 16
+#: An entry of a context: its two ids (17 bits each), and three counts of 4 bits: of these ids and of others.
+IDS, MOST = 17, 15
+NONE_A, NONE_B = (1 << IDS) - 2, (1 << IDS) - 1
+SWAP, RENEW = 1 << 12, 1 << 13
+
+
+def _states():
+    """By the three counts: p of both ids (PART bits), confidence (3 bits); and by outcome (first, second, other id) the next counts, with SWAP and RENEW."""
+    st = np.arange(1 << 12)
+    a, b, x = st & 15, st >> 4 & 15, st >> 8
+    total = a + b + x
+    p = [((n << PART) * 4 // (4 * total + 3)).astype(np.int64) for n in (a, b)]  # 0.75 for ids not met
+    sure = np.where(a == 0, 0, 1 + np.minimum(2, a // 2) * 2 + (a * 2 > total))
+    nexts = []
+    for outcome in range(3):
+        na, nb, nx, flag = a + (outcome == 0), b + (outcome == 1), x.copy(), np.zeros_like(a)
+        if outcome == 2:
+            new = b <= 1  # the second id makes room
+            flag |= np.where(new, RENEW, 0)
+            nx = np.where(new, x + nb, x + 1)
+            nb = np.where(new, 1, nb)
+        over = (na > MOST) | (nb > MOST) | (nx > MOST)
+        na, nb, nx = (np.where(over, n + 1 >> 1, n) for n in (na, nb, nx))
+        swap = nb > na
+        na, nb = np.where(swap, nb, na), np.where(swap, na, nb)
+        nexts.append(na | nb << 4 | np.minimum(nx, MOST) << 8 | flag | np.where(swap, SWAP, 0))
+    return *p, sure.astype(np.int64), np.concatenate(nexts).astype(np.int64)
+
+
+P_A, P_B, SURE, NEXT = _states()
 
 
 class Model:
     """The predictions. All lanes of a step are predicted, then learned."""
 
     def __init__(self, symbols: int, lanes: int):
-        self.n = symbols
+        if symbols > NONE_A:
+            raise ValueError("ids are too large")
+        self.n, self.bits = symbols, max(16, symbols.bit_length() + 2)
         self.count = np.ones(symbols, np.int64)
-        self.p1 = np.zeros(lanes, np.int64)
-        self.p2 = np.zeros(lanes, np.int64)
-        self.id2, self.sure2 = np.full(1 << ORDER2, -1, np.int32), np.zeros(1 << ORDER2, np.int8)
-        self.id1, self.sure1 = np.full(symbols, -1, np.int32), np.zeros(symbols, np.int8)
-        self.won = np.tile(np.array([1, 1, 6], np.int64), (64, 1))
+        self.p1, self.p2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.t1, self.t2 = (np.full(n, NONE_A | NONE_B << IDS, np.int64) for n in (symbols, 1 << ORDER2))
+        self.won = np.tile(np.array([2.0, 2.0, 4.0]), (64, 1))
         self.late: list[np.ndarray] = []
         self.step = 0
+        self._weigh()
         self._refresh()
 
+    def _weigh(self) -> None:
+        w = self.won / self.won.sum(1, keepdims=True)
+        self.w2, self.w1 = (np.floor(w[:, k] * ((1 << WEIGHT) - 160)).astype(np.int64) for k in (0, 1))
+        self.w0 = (1 << WEIGHT) - self.w2 - self.w1
+
     def _refresh(self) -> None:
         if self.late:
-            self.count += STEP * np.bincount(np.concatenate(self.late), minlength=self.n)
+            self.count += 8 * np.bincount(np.concatenate(self.late), minlength=self.n)
             self.late = []
-        total = int(self.count.sum())
-        while total > TOTAL:
-            self.count = (self.count + 1) >> 1
-            total = int(self.count.sum())
-        self.cum = np.concatenate([[0], np.cumsum(self.count)])
-        self.total = total
-        self.freq = self.count.copy()
-        s = self.won.sum(1)
-        self.a = np.maximum(1, self.won[:, 0] * (SCALE - 8) // s)
-        self.b = np.maximum(1, self.won[:, 1] * (SCALE - 8) // s)
+        size = 1 << self.bits
+        self.freq = 1 + self.count * (size - self.n) // int(self.count.sum())
+        self.freq[self.freq.argmax()] += size - int(self.freq.sum())
+        self.cum = np.cumsum(self.freq) - self.freq
+        self.by_place = None
+
+    def symbol(self, place: np.ndarray) -> np.ndarray:
+        """The ids whose intervals in order 0 hold the places."""
+        if self.by_place is None:
+            self.by_place = np.repeat(np.arange(self.n, dtype=np.int32), self.freq)
+        return self.by_place[place].astype(np.int64)
 
     def predict(self):
+        """The ids predicted, the ends of their intervals, in units; what is left is order 0's."""
         self.h = ((self.p2 * 0x9E3779B1 + self.p1 * 0x85EBCA6B) >> 7) & ((1 << ORDER2) - 1)
-        self.g2, self.g1 = self.id2[self.h], self.id1[self.p1]
-        self.c2, self.c1 = self.sure2[self.h], self.sure1[self.p1]
-        self.ctx = self.c2.astype(np.int64) * 8 + self.c1
-        return self.a[self.ctx], self.b[self.ctx]
-
-    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.id2[self.h] = x
-        self.id1[self.p1] = x
-        self.sure2[self.h] = np.where(hit2, np.minimum(self.c2 + 1, 7), 0)
-        self.sure1[self.p1] = np.where(self.g1 == x, np.minimum(self.c1 + 1, 7), 0)
-        self.won += np.bincount(self.ctx * 3 + np.where(hit2, 0, np.where(hit1, 1, 2)), minlength=192).reshape(64, 3)
-        self.p2, self.p1 = self.p1, x.astype(np.int64)
-        self.late.append(self.p1)
+        e2, e1 = self.t2[self.h], self.t1[self.p1]
+        mask = (1 << IDS) - 1
+        a2, b2, s2 = e2 & mask, e2 >> IDS & mask, e2 >> 2 * IDS
+        a1, b1, s1 = e1 & mask, e1 >> IDS & mask, e1 >> 2 * IDS
+        self.ctx = SURE[s2] << 3 | SURE[s1]
+        w2, w1 = self.w2[self.ctx], self.w1[self.ctx]
+        shift = WEIGHT + PART - UNIT
+        fa2, fb2, fa1, fb1 = w2 * P_A[s2] >> shift, w2 * P_B[s2] >> shift, w1 * P_A[s1] >> shift, w1 * P_B[s1] >> shift
+        aa, ab, ba, bb = a1 == a2, a1 == b2, b1 == a2, b1 == b2
+        end1 = fa2 + fa1 * aa + fb1 * ba
+        end2 = end1 + fb2 + fa1 * ab + fb1 * bb
+        end3 = end2 + fa1 * ~(aa | ab)
+        end4 = end3 + fb1 * ~(ba | bb)
+        self.ids, self.states = (a2, b2, a1, b1), (s2, s1)
+        return (a2, b2, a1, b1), (end1, end2, end3, end4)
+
+    def _follow(self, table: np.ndarray, at: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray, state: np.ndarray) -> None:
+        is_a, is_b = x == a, x == b
+        new = NEXT[(2 - 2 * is_a - is_b) << 12 | state]
+        b = np.where(new & RENEW, x, b)
+        swap = (new & SWAP) != 0
+        table[at] = np.where(swap, b, a) | np.where(swap, a, b) << IDS | (new & (SWAP - 1)) << 2 * IDS
+
+    def learn(self, x: np.ndarray) -> None:
+        (a2, b2, a1, b1), (s2, s1) = self.ids, self.states
+        if self.step < OFTEN or self.step % OFTEN == 0:
+            shares = [w[self.ctx] * (P_A[s] * (x == a) + P_B[s] * (x == b)) for w, s, a, b in ((self.w2, s2, a2, b2), (self.w1, s1, a1, b1))]
+            shares.append(self.w0[self.ctx] * self.freq[x] / float(1 << self.bits - PART))
+            total = shares[0] + shares[1] + shares[2]
+            for k in range(3):
+                self.won[:, k] += np.bincount(self.ctx, shares[k] / total, 64)
+            self._weigh()
+        if self.step & 1:  # one order a step: the ids of the others' contexts are met again
+            self._follow(self.t1, self.p1, x, a1, b1, s1)
+        else:
+            self._follow(self.t2, self.h, x, a2, b2, s2)
+        self.p2, self.p1 = self.p1, x
+        self.late.append(x)
         self.step += 1
-        if self.step < 4 or self.step % 4 == 0:
+        if self.step < 4 or self.step % SELDOM == 0:
             self._refresh()
 
 
@@ -112,17 +182,21 @@ def encode(ids: np.ndarray, symbols: int) -> bytes:
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
     out, used = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
     low, size, m = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64), Model(symbols, lanes)
+    none = np.zeros(lanes, np.int64)
     for t in range(steps):
         s = x[t]
-        a, b = m.predict()
-        hit2 = m.g2 == s
-        hit1 = (m.g1 == s) & ~hit2
-        rest = SCALE - a - b
-        cum = np.where(hit2, 0, np.where(hit1, a * m.total, (a + b) * m.total + rest * m.cum[s]))
-        frq = np.where(hit2, a * m.total, np.where(hit1, b * m.total, rest * m.freq[s]))
-        size //= U64(SCALE * m.total)
-        low += cum.astype(U64) * size
-        size *= frq.astype(U64)
+        ids, ends = m.predict()
+        unit, left = size >> U64(UNIT), ends[3]
+        share = unit * ((1 << UNIT) - left).view(U64) >> U64(m.bits)
+        add, size = unit * left.view(U64) + share * m.cum[s].view(U64), share * m.freq[s].view(U64)
+        begin = none
+        for guess, end in zip(ids, ends):
+            k = np.flatnonzero((guess == s) & (end > begin))
+            if len(k):
+                first = begin[k]
+                add[k], size[k] = unit[k] * first.view(U64), unit[k] * (end[k] - first).view(U64)
+            begin = end
+        low += add
         k = _shift(low, size)
         while len(k):
             out[k, used[k]] = low[k] >> U64(48)
@@ -130,7 +204,7 @@ def encode(ids: np.ndarray, symbols: int) -> bytes:
             low[k] <<= U64(16)
             size[k] <<= U64(16)
             k = _shift(low, size, k)
-        m.learn(s, hit2, hit1)
+        m.learn(s)
     for _ in range(4):
         out[np.arange(lanes), used] = low >> U64(48)
         used += 1
@@ -151,21 +225,25 @@ def decode(data: bytes, n: int, symbols: int) -> np.ndarray:
         at += 1
     x = np.zeros((steps, lanes), np.int64)
     low, size, m = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64), Model(symbols, lanes)
+    none = np.zeros(lanes, np.int64)
     for t in range(steps):
-        a, b = m.predict()
-        size //= U64(SCALE * m.total)
-        at0 = np.minimum(((code - low) // size).astype(np.int64), SCALE * m.total - 1)
-        part = at0 // m.total
-        hit2 = part < a
-        hit1 = (part < a + b) & ~hit2
-        rest = SCALE - a - b
-        s = np.searchsorted(m.cum, np.floor(np.maximum(at0 - (a + b) * m.total, 0) / rest).astype(np.int64), "right") - 1
-        s = np.where(hit2, m.g2, np.where(hit1, m.g1, s))
-        hit0 = ~(hit2 | hit1)
-        cum = np.where(hit0, (a + b) * m.total + rest * m.cum[s], np.where(hit1, a * m.total, 0))
-        frq = np.where(hit0, rest * m.freq[s], np.where(hit1, b * m.total, a * m.total))
-        low += cum.astype(U64) * size
-        size *= frq.astype(U64)
+        ids, ends = m.predict()
+        unit, left = size >> U64(UNIT), ends[3]
+        share = unit * ((1 << UNIT) - left).view(U64) >> U64(m.bits)
+        base = unit * left.view(U64)
+        place = code - low
+        above = place >= base
+        s = np.where(above, (place - base) // share, U64(0)).view(np.int64)
+        s = m.symbol(np.minimum(s, (1 << m.bits) - 1))
+        add, size = base + share * m.cum[s].view(U64), share * m.freq[s].view(U64)
+        k = np.flatnonzero(~above)
+        if len(k):
+            nth = (place[k] // unit[k]).view(np.int64)
+            which = sum((nth >= e[k]).astype(np.int64) for e in ends[:3])
+            s[k] = np.choose(which, [g[k] for g in ids])
+            first, end = np.choose(which, [none[k], *(e[k] for e in ends[:3])]), np.choose(which, [e[k] for e in ends])
+            add[k], size[k] = unit[k] * first.view(U64), unit[k] * (end - first).view(U64)
+        low += add
         k = _shift(low, size)
         while len(k):
             code[k] = (code[k] << U64(16)) | units[np.minimum(at[k], len(units) - 1)]
@@ -174,7 +252,7 @@ def decode(data: bytes, n: int, symbols: int) -> np.ndarray:
             size[k] <<= U64(16)
             k = _shift(low, size, k)
         x[t] = s
-        m.learn(s, hit2, hit1)
+        m.learn(s)
     return x.T.reshape(-1)[:n].astype(np.uint32)
 
 
