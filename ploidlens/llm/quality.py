@@ -1,13 +1,17 @@
 """Quality rules, the last of which is n-gram perplexity under a modified Kneser-Ney model.
 
-The model is one of character classes (39 symbols: folded letters, capitals, digits, kinds of
-punctuation), of order 4. Spark counts the 4-grams of all texts; all lower orders follow from these.
-There are at most 39**4 (2.3 million) n-grams, so what reaches the driver, and is broadcast, has
-that bound (28 MB) at any scale. The model is kept in arrays sorted by the n-gram's hash (its packed
-symbols, a perfect hash) and read by binary search; a worker looks up each n-gram of a batch once.
+The model is one of the characters (code points) of all texts, of order 5. Spark counts all 5-grams, each
+task adding up its own first; lower orders have continuation counts. All discounts, context sums and
+probabilities are DataFrame aggregations and joins over the distinct n-grams, whose number has no limit but the
+corpus. As every text is counted, every n-gram that is looked up is in the model, with the log probability that
+interpolation with all lower orders gives it, in millionths.
+
+For scoring, the model is kept in arrays sorted by the n-grams' 64-bit hashes. Up to SMALL n-grams (96 MB)
+these go to all tasks; a larger model stays a table that the documents' n-grams are joined with. Both give the
+same sums, which are of whole numbers.
 
 A document is rejected if a base rule fails or its log perplexity lies outside its language's band:
-from q1 - width * s to q3 + width * s, quartiles of all the language's distinct texts that pass the base
+from q1 - width * s to q3 + width * s, with exact quartiles (in steps of a thousandth) of all the language's distinct texts that pass the base
 rules, each counted once however many copies there are; s is q3 - q1, or SPREAD if that is more, so that
 near copies of one text can't narrow the band to themselves. The counts, too, take a text that has over
 one in HEAVY rows (so there are fewer than HEAVY such texts) once, else its copies would make it an
@@ -19,60 +23,64 @@ Null texts: no words, base_failed. Repeated rows and ids: judged each. Empty tab
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ploidlens.llm import common as C
 
-ORDER, SYMBOLS, WIDTH = 4, 39, 3.0
-#: The least spread of a band; sf0.1 has 0.027 to 0.045 by language.
+ORDER, WIDTH = 5, 3.0
+#: The least spread of a band.
 SPREAD = 0.025
 HEAVY = 1000
-SPACE, OTHER_LETTER, UPPER, NUMBER, OTHER = 0, 27, 28, 29, 38
-MARKS = {".": 30, ",": 31, ";": 31, ":": 31, "'": 32, "-": 32, "’": 32, "!": 33, "?": 33, "#": 34, "*": 34, "$": 34, "%": 34, "&": 34, "<": 35, ">": 35, "|": 35, '"': 36, "(": 36, ")": 36, "[": 36, "]": 36, "«": 36, "»": 36}
+#: Distinct n-grams of the largest model that goes to all tasks (12 bytes each), and languages of the bands that do.
+SMALL, LANGUAGES = 8_000_000, 100_000
+#: Distinct n-grams that a task holds before it passes them on.
+HELD = 1_000_000
+UNIT = 1e-6
 SYMBOL = re.compile(r"[#*$%&|<>]")
-
-
-def _table() -> np.ndarray:
-    """The symbol of each code point below 0x3000; beyond, letters are OTHER_LETTER."""
-    out = np.full(0x3000, OTHER, np.int32)
-    for c in range(len(out)):
-        ch = chr(c)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if ch.isspace():
-            out[c] = SPACE
-        elif ch in MARKS:
-            out[c] = MARKS[ch]
-        elif ch.isalpha():
-            out[c] = UPPER if ch.isupper() else ord(base) - 96 if "a" <= base <= "z" else OTHER_LETTER
-        elif ch.isdigit():
-            out[c] = NUMBER
-        elif unicodedata.category(ch)[0] == "P":
-            out[c] = 37
-    return out
-
-
-TABLE = _table()
-
-
-def symbols(text: str) -> np.ndarray:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return TABLE[c] if not len(c) or c.max() < len(TABLE) else np.where(c < len(TABLE), TABLE[np.minimum(c, len(TABLE) - 1)], OTHER_LETTER)
-
-
-def grams(text: str | None, order: int = ORDER) -> np.ndarray:
-    """The packed n-grams that end at each symbol of the text, which begins and ends with spaces."""
-    s = np.concatenate([np.zeros(order - 1, np.int32), symbols(text or ""), np.zeros(1, np.int32)])
-    g = s[: len(s) - order + 1].astype(np.int32)
-    for k in range(1, order):
-        g = g * SYMBOLS + s[k : len(s) - order + 1 + k]
-    return g
+U64 = np.uint64
+
+
+def codes(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts, each between order - 1 spaces and one, and where its n-grams begin (each text's length and one of them)."""
+    pad = " " * (order - 1)
+    flat = np.frombuffer("".join(f"{pad}{t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) for t in texts], np.int64)
+    at = np.arange(int((size + 1).sum())) + np.repeat(np.arange(len(texts)) * (order - 1), size + 1)
+    return flat, at
+
+
+def hashes(flat: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """64-bit hashes of the n-grams of code points that begin at the places."""
+    there = np.flatnonzero(np.bincount(flat, minlength=1))
+    value = np.zeros(int(flat.max()) + 1 if len(flat) else 1, U64)
+    value[there] = C.mix(there.astype(U64) + U64(0x9E3779B97F4A7C15))
+    v, h = value[flat], np.zeros(max(0, len(flat) - order + 1), U64)
+    for k in range(order):
+        h = h * U64(0xD6E8FEB86659FD93) + v[k : len(flat) - order + 1 + k]
+    return C.mix(h)[at]
+
+
+def distinct(flat: np.ndarray, at: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams: hashes, a place of each, and counts."""
+    there = np.bincount(flat, minlength=1) > 0
+    number, bits = np.cumsum(there) - 1, int(there.sum()).bit_length()
+    if bits * order <= 64:  # packed: cheaper to sort, and unpacked again
+        x, key = number[flat].astype(U64), np.zeros(len(flat) - order + 1, U64)
+        for k in range(order):
+            key = key << U64(bits) | x[k : len(flat) - order + 1 + k]
+        key, count = np.unique(key[at], return_counts=True)
+        point = np.flatnonzero(there).astype(np.uint32)
+        gram = np.stack([point[(key >> U64(bits * (order - 1 - k)) & U64((1 << bits) - 1)).astype(np.int64)] for k in range(order)], 1)
+    else:
+        _, one, count = np.unique(hashes(flat, at, order), return_index=True, return_counts=True)
+        gram = flat[at[one][:, None] + np.arange(order)]
+    return hashes(gram.ravel(), np.arange(len(gram)) * order, order), gram, count
 
 
 def heavy(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
@@ -84,83 +92,94 @@ def heavy(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     return out
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) of all texts, heavy ones once; each task adds up its own counts first."""
+def count_grams(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(h, gram, c) of all texts, heavy ones once: hash, three bytes of each code point, and count. Each task adds up its own first."""
     copies = heavy(docs, text_col)
 
+    def rows(held):
+        h, gram, c = (np.concatenate(x) for x in zip(*held))
+        _, one, at = np.unique(h, return_index=True, return_inverse=True)
+        h, gram, c = h[one], gram[one], np.bincount(at, c)
+        return [h, gram, c]
+
+    def out(h, gram, c):
+        raw = np.ascontiguousarray(gram.astype("<u4").view(np.uint8).reshape(len(gram), order, 4)[:, :, 2::-1]).tobytes()
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(3 * order), len(gram), [None, pa.py_buffer(raw)]).cast(pa.binary())
+        return pa.record_batch([pa.array(h.view(np.int64)), raw, pa.array(c.astype(float))], ["h", "gram", "c"])
+
     def run(batches):
-        count, shared = np.zeros(SYMBOLS**ORDER, np.int64), Counter()
-        for b in batches:
+        held, shared = [], Counter()
+        for b in C.slices(batches, 0):
             texts = []
             for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t and h not in copies:
                     texts.append(t)
                 elif t:
                     shared[h, t] += 1
-            for lo in range(0, len(texts), 400):
-                count += np.bincount(np.concatenate([grams(t) for t in texts[lo : lo + 400]]), minlength=len(count))
-        part = np.zeros(len(count) if shared else 0)
+            if texts:
+                held.append(distinct(*codes(texts, order), order))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [rows(held)]
+                    if len(held[0][0]) > HELD:
+                        yield out(*held.pop())
         for (h, t), k in shared.items():
-            g, n = np.unique(grams(t), return_counts=True)
-            part[g] += n * (k / copies[h])
-        got = np.flatnonzero((count > 0) | (part > 0) if shared else count)
-        for lo in range(0, len(got), 100_000):
-            g = got[lo : lo + 100_000]
-            yield pa.record_batch([pa.array(g.astype(np.int32)), pa.array(count[g] + part[g] if shared else count[g].astype(float))], ["gram", "n"])
-
-    rows = docs.select(text_col, F.xxhash64(text_col)).mapInArrow(C.released(run), "gram int, n double")
-    return rows.groupBy("gram").agg(F.greatest(F.lit(1), F.round(F.sum("n"))).cast("long").alias("n"))
-
-
-class KneserNey:
-    """Modified Kneser-Ney probabilities: log_prob[k] of the k-th n-gram in the sorted array `hashes`, and, for
-    each lower order, what n-grams get that were never seen."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, order: int = ORDER, symbols: int = SYMBOLS):
-        o = np.argsort(hashes)
-        self.order, self.symbols = order, symbols
-        self.levels = []  # from order 1 up: (hashes, probability), (hashes of contexts, their back-off weight)
-        by = {order: (hashes[o].astype(np.int64), counts[o].astype(np.float64))}
-        for n in range(order - 1, 0, -1):  # continuation counts: how many symbols precede
-            g, k = np.unique(by[n + 1][0] % symbols**n, return_counts=True)
-            by[n] = (g, k.astype(np.float64))
-        for n in range(1, order + 1):
-            self.levels.append(self._level(n, *by[n]))
-
-    def _level(self, n: int, g: np.ndarray, c: np.ndarray):
-        n1, n2, n3, n4 = ((c == k).sum() for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        d = np.array([0, 1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y])
-        d = np.clip(d, [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.85])
-        taken = d[np.minimum(c, 3).astype(int)]
-        ctx, at = np.unique(g // self.symbols, return_inverse=True)
-        total = np.bincount(at, c)
-        back = np.bincount(at, taken) / total
-        return g, (c - taken) / total[at] + back[at] * self.lower(n - 1, g % self.symbols ** (n - 1)), ctx, back
-
-    def lower(self, n: int, g: np.ndarray) -> np.ndarray:
-        """The probabilities of the last symbols of n-grams g of order n."""
-        if n == 0:
-            return np.full(len(g), 1 / self.symbols)
-        hashes, p, ctx, back = self.levels[n - 1]
-        at = np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)
-        out = p[at].copy()
-        miss = np.flatnonzero(hashes[at] != g)
-        if len(miss):
-            h = g[miss] // self.symbols
-            k = np.minimum(np.searchsorted(ctx, h), len(ctx) - 1)
-            out[miss] = np.where(ctx[k] == h, back[k], 1.0) * self.lower(n - 1, g[miss] % self.symbols ** (n - 1))
-        return out
-
-    def log_probs(self, g: np.ndarray) -> np.ndarray:
-        """Log probabilities of n-grams; each distinct one is looked up once."""
-        if not hasattr(self, "scratch"):
-            self.scratch, self.there = np.zeros(self.symbols**self.order, np.float32), np.zeros(self.symbols**self.order, bool)
-        seen = np.unique(g[~self.there[g]])
-        if len(seen):
-            self.scratch[seen] = np.log(self.lower(self.order, seen.astype(np.int64)))
-            self.there[seen] = True
-        return self.scratch[g]
+            x = distinct(*codes([t], order), order)
+            held.append((x[0], x[1], x[2] * (k / copies[h])))
+        if held:
+            yield out(*rows(held))
+
+    got = docs.select(text_col, F.xxhash64(text_col)).mapInArrow(C.released(run), "h long, gram binary, c double")
+    return got.groupBy("h", "gram").agg(F.greatest(F.lit(1), F.round(F.sum("c"))).cast("long").alias("c"))
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Modified Kneser-Ney discounts of counts 1, 2, and 3 or more, from how many n-grams have counts 1 to 4; within bounds where these are too few."""
+    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    d = [1 - 2 * y * n2 / n1 if n1 else y, 2 - 3 * y * n3 / n2 if n2 else y, 3 - 4 * y * n4 / n3 if n3 else y]
+    return [min(max(x, 0.05), most) for x, most in zip(d, (0.95, 1.9, 2.85))]
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(h, lp) of the n-grams counted: log probability of the last character after the others, in UNIT."""
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):  # continuation counts: how many characters precede
+        levels[k] = levels[k + 1].groupBy(F.substring("gram", 4, 3 * k).alias("gram")).agg(F.count("*").alias("c"))
+    p = None
+    for k in range(1, order + 1):
+        t = levels[k]
+        d = discounts(*t.agg(*(F.count_if(F.col("c") == j) for j in (1, 2, 3, 4))).first())
+        taken = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        context = Window.partitionBy(F.substring("gram", 1, 3 * (k - 1)))  # as many rows as there are characters at most
+        t = t.withColumn("taken", taken).select("*", F.sum("c").over(context).alias("total"), F.sum("taken").over(context).alias("left"), F.count("*").over(Window.partitionBy()).alias("v") if k == 1 else F.lit(0).alias("v"))
+        own = (F.col("c") - F.col("taken")) / F.col("total")
+        back = F.col("left") / F.col("total")
+        if k == 1:
+            p = t.select("gram", (own + back / F.col("v")).alias("p"))
+        else:
+            low = p.select(F.col("gram").alias("suffix"), F.col("p").alias("low"))
+            t = t.join(low, F.substring("gram", 4, 3 * (k - 1)) == F.col("suffix"))
+            p = t.select(*(["h"] if k == order else ["gram"]), (own + back * F.col("low")).alias("p"))
+    return p.select("h", F.round(F.log("p") / UNIT).cast("int").alias("lp"))
+
+
+class Sorted:
+    """Arrays of hashes, ascending, and of values; a table of where each first bits begin makes look-ups short."""
+
+    def __init__(self, h: np.ndarray, value: np.ndarray):
+        o = np.argsort(h)
+        self.h, self.value = np.append(h[o], ~U64(0)), np.append(value[o], 0).astype(np.int32)
+        self.bits = max(1, len(h).bit_length() + 1)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        """The values of hashes that are there."""
+        if not hasattr(self, "first"):
+            self.first = np.searchsorted(self.h[:-1], np.arange(1 << self.bits, dtype=U64) << U64(64 - self.bits)).astype(np.int32)
+        at = self.first[(h >> U64(64 - self.bits)).astype(np.int64)]
+        k = np.flatnonzero(self.h[at] < h)
+        while len(k):
+            at[k] += 1
+            k = k[self.h[at[k]] < h[k]]
+        return self.value[at]
 
 
 def base_features(text: str | None) -> tuple[int, int, int, int, int]:
@@ -195,38 +214,79 @@ def base_features(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, len(SYMBOL.findall(t)), len(lines) - len(set(lines)), repeats
 
 
+def _scored(docs: DataFrame, model: DataFrame, text_col: str) -> DataFrame:
+    """Rows (row, text) with total: the sum of log probabilities of the text's n-grams; null for null and empty texts."""
+    if model.count() > SMALL:
+        return _joined(docs, model)
+    got = model.toArrow()  # at most SMALL rows
+    held = docs.sparkSession.sparkContext.broadcast(Sorted(got.column("h").to_numpy().view(U64), got.column("lp").to_numpy()) if got.num_rows else None)
+
+    def run(batches):
+        for b in C.slices(batches):
+            texts = b.column(1).to_pylist()
+            have = [t for t in texts if t]
+            total = iter(np.add.reduceat(held.value.look_up(hashes(*codes(have))).astype(np.int64), np.cumsum([0] + [len(t) + 1 for t in have[:-1]])).tolist() if have else [])
+            yield _measured(b, texts, [next(total) if t else None for t in texts])
+
+    return docs.mapInArrow(C.released(run), _kind(docs))
+
+
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judged(docs: DataFrame, width: float = WIDTH, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Rows of docs as the struct `row`, with the base features, base_failed, log_perplexity, band_low, band_high and kept."""
-    spark = docs.sparkSession
-    got = count_grams(docs, text_col).toPandas()  # at most SYMBOLS ** ORDER rows
-    model = spark.sparkContext.broadcast(KneserNey(got["gram"].to_numpy(np.int64), got["n"].to_numpy())) if len(got) else None
-    at = docs.columns.index(text_col)
+def _kind(docs: DataFrame) -> str:
+    return f"row {docs.schema['row'].dataType.simpleString()}, key string, h long, {', '.join(f'{n} long' for n in NAMES)}, size long, total long"
+
+
+def _measured(b, texts, total) -> pa.RecordBatch:
+    found = [base_features(t) for t in texts]
+    cols = [pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * len(NAMES))]
+    return pa.record_batch([b.column(0), b.column(2), b.column(3), *cols, pa.array([len(t) + 1 if t else None for t in texts], pa.int64()), pa.array(total, pa.int64())], ["row", "key", "h", *NAMES, "size", "total"])
+
+
+def _joined(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """The same, the model being a table that n-grams of documents are joined with."""
+    rows = C.staged(docs.withColumn("id", F.monotonically_increasing_id()), "rows")
+
+    def grams(batches):
+        for b in C.slices(batches):
+            for t, k in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
+                if t:
+                    h, n = np.unique(hashes(*codes([t])), return_counts=True)
+                    yield pa.record_batch([pa.array(np.full(len(h), k)), pa.array(h.view(np.int64)), pa.array(n)], ["id", "h", "n"])
 
     def run(batches):
-        for b in batches:
-            texts = b.column(0).field(at).to_pylist()
-            rows = [base_features(t) for t in texts]
-            score = [float(-model.value.log_probs(grams(t)).mean(dtype=np.float64)) if t else None for t in texts]
-            yield pa.record_batch([b.column(0), *[pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], pa.array(score, pa.float64())], ["row", *NAMES, "log_perplexity"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(C.released(run), f"row {kind}, {', '.join(f'{n} long' for n in NAMES)}, log_perplexity double")
+        for b in C.slices(batches):
+            yield _measured(b, b.column(1).to_pylist(), b.column(4))
+
+    sums = rows.mapInArrow(C.released(grams), "id long, h long, n long").join(model, "h").groupBy("id").agg(F.sum(F.col("n") * F.col("lp")).alias("total"))
+    return rows.join(sums, "id", "left").select("row", "text", "key", "h", "total").mapInArrow(C.released(run), _kind(docs))
+
+
+def judged(docs: DataFrame, width: float = WIDTH, text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """Rows of docs (the columns to carry, all by default) as the struct `row`, with the base features, base_failed, log_perplexity, band_low, band_high and kept."""
+    counts = C.staged(count_grams(docs, text_col), "grams")
+    model = C.staged(kneser_ney(counts), "model")
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string")), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), key.alias("key"), F.xxhash64(f"`{text_col}`").alias("h"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = C.staged(scored.withColumn("base_failed", failed), "scored")
-    key = F.coalesce(F.concat(F.lit("="), F.col(f"row.`{lang_col}`").cast("string")), F.lit("")).alias("key")
-    once = scored.filter("not base_failed and log_perplexity is not null").groupBy(key, F.xxhash64(f"row.`{text_col}`").alias("h")).agg(F.max("log_perplexity").alias("log_perplexity"))
-    q = once.groupBy("key").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
-    spread = F.greatest(high - low, F.lit(SPREAD))
-    bands = q.select("key", (low - width * spread).alias("band_low"), (high + width * spread).alias("band_high"))
+    scored = _scored(rows, model, text_col).withColumn("base_failed", failed).withColumn("log_perplexity", -F.col("total") * UNIT / F.col("size"))
+    scored = C.staged(scored.drop("total", "size"), "scored")
+    once = scored.filter("not base_failed and log_perplexity is not null").groupBy("key", "h").agg(F.max("log_perplexity").alias("x"))
+    steps = once.groupBy("key", F.floor(F.col("x") * 1000).alias("step")).agg(F.count("*").alias("n"))  # some thousand steps a language
+    by, all_ = Window.partitionBy("key").orderBy("step"), Window.partitionBy("key")
+    steps = steps.select("key", "step", F.sum("n").over(by).alias("upto"), F.sum("n").over(all_).alias("all"))
+    low, high = (F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("step"))) / 1000 for k in (1, 3))
+    q = steps.groupBy("key").agg(low.alias("low"), high.alias("high"))
+    spread = F.greatest(F.col("high") - F.col("low"), F.lit(SPREAD))
+    bands = C.staged(q.select("key", (F.col("low") - width * spread).alias("band_low"), (F.col("high") + width * spread).alias("band_high")), "bands")
+    if bands.count() <= LANGUAGES:
+        bands = F.broadcast(bands)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
-    return scored.withColumn("key", key).join(bands, "key", "left").withColumn("kept", kept).drop("key")
+    C.dropped(counts, model)
+    return scored.join(bands, "key", "left").withColumn("kept", kept).drop("key", "h")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    rows = judged(C.documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    rows = judged(C.documents(spark, sf_dir), carry=["doc_id"])
     return rows.select("row.doc_id", *NAMES, "base_failed", "log_perplexity", "band_low", "band_high", "kept")

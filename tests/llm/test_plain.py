@@ -164,14 +164,6 @@ def test_quality_features(t):
     assert quality.base_features(t) == _plain_base(t)
 
 
-def test_kneser_ney_is_a_distribution():
-    rng = np.random.default_rng(0)
-    g, c = np.unique(rng.integers(0, 5**3, 400), return_counts=True)
-    m = quality.KneserNey(g, c, 3, 5)
-    for h in range(25):
-        assert abs(m.lower(3, h * 5 + np.arange(5)).sum() - 1) < 1e-9
-
-
 @pytest.mark.parametrize("num", [80, 90])
 def test_jaccard_prefixes_lose_no_link(num):
     rng = np.random.default_rng(num)
@@ -271,3 +263,18 @@ def test_main_text():
     random.seed(1)
     for _ in range(200):
         html.extract("".join(random.choice(["<", ">", '"', "<p>", "</div>", "<!--", "a b", "<script", "&amp", "<div class=ad>"]) for _ in range(30)))
+
+
+@given(st.lists(st.text(alphabet="ab \U0001f600é\0", min_size=1, max_size=40), min_size=1, max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_distinct_grams(texts):
+    flat, at = quality.codes(texts, 3)
+    h, gram, n = quality.distinct(flat, at, 3)
+    want = {}
+    for t in texts:
+        t = f"  {t} "
+        for k in range(len(t) - 2):
+            want[t[k : k + 3]] = want.get(t[k : k + 3], 0) + 1
+    assert {"".join(map(chr, g)): c for g, c in zip(gram.tolist(), n.tolist())} == want
+    look = quality.Sorted(h, n)
+    assert look.look_up(quality.hashes(flat, at, 3)).tolist() == [want["".join(map(chr, flat[k : k + 3]))] for k in at]

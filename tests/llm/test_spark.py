@@ -151,3 +151,56 @@ def test_rows_without_an_id_link_as_others(spark):
     assert got == sorted([(1, 1, 3), (None, 1, 3), (2, 1, 3), (7, 1, 3), (7, 7, 0), (None, None, 1), (None, None, 1), (None, None, 0), (8, 8, 0)], key=repr)
     kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df, 3, 90, 100).collect()), key=repr)
     assert kept == sorted([(1, " ".join(w)), (7, "an other text of seven"), (None, "one two three four"), (None, ""), (8, None)], key=repr)
+
+
+def _plain_kneser_ney(texts, order):
+    """Log probabilities of the n-grams of texts, by dictionaries and recursion."""
+    from collections import Counter, defaultdict
+
+    count = {order: Counter(p[k : k + order] for t in texts for p in [" " * (order - 1) + t + " "] for k in range(len(t) + 1))}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in count[k + 1])
+    after = {k: defaultdict(list) for k in count}
+    for k, c in count.items():
+        for g, n in c.items():
+            after[k][g[:-1]].append(n)
+    d = {k: [0, *quality.discounts(*[sum(n == j for n in c.values()) for j in (1, 2, 3, 4)])] for k, c in count.items()}
+
+    def p(g):
+        if not g:
+            return 1 / len(count[1])
+        k, n = len(g), count[len(g)][g]
+        have = after[k][g[:-1]]
+        take = lambda x: d[k][min(x, 3)]
+        return (n - take(n) + sum(map(take, have)) * p(g[1:])) / sum(have)
+
+    return {g: np.log(p(g)) for g in count[order]}
+
+
+@pytest.mark.parametrize("small", [quality.SMALL, 0])
+def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch, small):
+    monkeypatch.setattr(quality, "SMALL", small)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcde é日 "), rng.integers(1, 300))) for _ in range(40)] + ["а" * 30, "long " * 3000]
+    p = _plain_kneser_ney(texts, quality.ORDER)
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate([*texts, None, ""])], "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["log_perplexity"] for r in quality.judged(df).select("row.doc_id", "log_perplexity").collect()}
+    for k, t in enumerate(texts):
+        x = " " * (quality.ORDER - 1) + t + " "
+        assert abs(got[k] + np.mean([p[x[j : j + quality.ORDER]] for j in range(len(t) + 1)])) < 2e-6
+    assert got[len(texts)] is None and got[len(texts) + 1] is None
+
+
+def test_bands_are_exact_quartiles(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(words, 60)), ("a", "b", None)[k % 3]) for k in range(120)] + [(200, " ".join("qzxjk" for _ in range(3)) + " " + " ".join(f"q{k}zx" for k in range(80)), "a")]
+    got = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).select("row.*", "log_perplexity", "band_low", "band_high", "base_failed", "kept").toPandas()
+    for _, g in got.groupby(got.lang.fillna("-")):
+        ok = g[~g.base_failed]
+        x = np.sort(np.floor(ok.log_perplexity.to_numpy() * 1000))
+        low, high = (x[-(-len(x) * k // 4) - 1] / 1000 for k in (1, 3))
+        spread = max(high - low, quality.SPREAD)
+        assert np.allclose(g.band_low, low - 3 * spread) and np.allclose(g.band_high, high + 3 * spread)
+        assert (g.kept == (~g.base_failed & g.log_perplexity.between(low - 3 * spread, high + 3 * spread))).all()
+    assert not got[got.doc_id == 200].kept.any()
