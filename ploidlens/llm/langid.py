@@ -6,9 +6,10 @@ Learned transitions join neighbouring words, so that code-switched text is label
 stretch. Forward-backward gives each word's probabilities; a text's language is the one with the
 largest sum, its score that sum's share.
 
-Fitting: the weights are learned by stochastic gradient on sequences made of stretches of several
-documents, from a bounded sample: of each language PER_LANG documents (those with the smallest
-hashes), TOTAL in all, and of each up to STRETCH words from a hashed place. Prediction
+Fitting: the weights, transitions and starts are learned by stochastic gradient on sequences made of stretches
+of several documents; the gradient is what is there less what forward-backward expects, of words and of pairs of
+neighbours. The documents are a bounded sample of labelled rows: of each language PER_LANG different texts
+(those with the smallest hashes), TOTAL in all, whole. Prediction
 uses all words of whole texts. Sums over long texts run in blocks of words, by products of transition
 matrices, so a long text costs no more a word than a short one.
 
@@ -34,7 +35,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Characters often found at the ends of words; only a shortcut.
 ENDS = ".,;:!?'\"()[]*#$%&|<>-"
 #: The bound of the sample, and sizes of the fit.
-PER_LANG, TOTAL, STRETCH = 700, 6000, 120
+PER_LANG, TOTAL = 400, 4000
 BITS, MAXLEN, BLOCK = 18, 24, 64
 SEQUENCES, LENGTH, STEPS, RATE = 64, 48, 150, 0.15
 #: Words whose scores a worker keeps.
@@ -144,6 +145,25 @@ def marginals(e: np.ndarray, trans: np.ndarray, start: np.ndarray, end_at: np.nd
     return out
 
 
+def expected(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences of one length (sequences, words, labels): probabilities of each word's labels, and of each two neighbours', summed."""
+    n, length, k = e.shape
+    x, a = np.exp(e - e.max(2, keepdims=True)), np.exp(trans - trans.max())
+    f, b = np.empty_like(x), np.ones_like(x)
+    f[:, 0] = np.exp(start - start.max()) * x[:, 0]
+    f[:, 0] /= f[:, 0].sum(1, keepdims=True)
+    for t in range(1, length):
+        w = f[:, t - 1] @ a * x[:, t]
+        f[:, t] = w / w.sum(1, keepdims=True)
+    for t in range(length - 2, -1, -1):
+        w = (x[:, t + 1] * b[:, t + 1]) @ a.T
+        b[:, t] = w / w.sum(1, keepdims=True)
+    p = f * b
+    pair = f[:, :-1, :, None] * a * (x * b)[:, 1:, None, :]
+    pair /= pair.sum((2, 3), keepdims=True)
+    return p / p.sum(2, keepdims=True), pair.sum((0, 1))
+
+
 class Tagger:
     def __init__(self, labels: list[str]):
         k = len(labels)
@@ -178,6 +198,7 @@ class Tagger:
         of = [[w for w, x in zip(texts, langs) if number[x] == j and w] for j in range(k)]
         there = [j for j in range(k) if of[j]]
         square, ts = np.full(self.weights.shape, 1e-3, np.float32), np.full((k, k), 1e-3)
+        ss = np.full(k, 1e-3)
         for _ in range(STEPS if there else 0):
             words, y = [], []
             for _ in range(SEQUENCES):
@@ -196,7 +217,8 @@ class Tagger:
             flat[:] = words
             x = features(flat)
             e = self.weights[x].sum(1).astype(np.float64)
-            p = marginals(e, self.trans, self.start, np.arange(1, SEQUENCES + 1) * LENGTH)
+            p, pairs = expected(e.reshape(SEQUENCES, LENGTH, k), self.trans, self.start)
+            p = p.reshape(-1, k)
             g = -p
             g[np.arange(len(y)), y] += 1
             rows, at = np.unique(x, return_inverse=True)
@@ -208,16 +230,14 @@ class Tagger:
             square[rows] += s * s
             self.weights[rows] += RATE * s / np.sqrt(square[rows])
             self.weights[1 << BITS] = 0
-            pair = np.ones(len(y), bool)
-            pair[::LENGTH] = False
-            ix = np.flatnonzero(pair)
-            a = np.exp(self.trans)  # expected transitions, from neighbouring marginals and the transition itself
-            q = p[ix - 1][:, :, None] * a[None] * p[ix][:, None, :]
-            q /= q.sum((1, 2), keepdims=True)
-            d = np.bincount(y[ix - 1] * k + y[ix], minlength=k * k).reshape(k, k) - q.sum(0)
-            d /= np.sqrt(len(ix))
+            z = y.reshape(SEQUENCES, LENGTH)
+            d = np.bincount((z[:, :-1] * k + z[:, 1:]).ravel(), minlength=k * k).reshape(k, k) - pairs
+            d /= np.sqrt(SEQUENCES * (LENGTH - 1))
             ts += d * d
             self.trans += RATE * d / np.sqrt(ts)
+            d = (np.bincount(z[:, 0], minlength=k) - p[::LENGTH].sum(0)) / np.sqrt(SEQUENCES)
+            ss += d * d
+            self.start += RATE * d / np.sqrt(ss)
         return self
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -242,28 +262,29 @@ def held_out(id_col: str):
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """The labelled rows to learn from: TOTAL at most, PER_LANG of a language, by hash; each task ranks its own first."""
+    """The labelled texts to learn from: TOTAL at most, PER_LANG different ones of a language, by hash; each task ranks its own first."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
-    at = F.pmod(F.col("h"), F.greatest(F.length("text") - STRETCH * 8, F.lit(1))).cast("int") + 1
-    rows = rows.select("lang", "h", F.substring("text", at, F.lit(STRETCH * 8)).alias("text"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= PER_LANG).orderBy("rank", "lang").limit(TOTAL).collect()
+    few = rows.select("lang", "h").distinct().withColumn("rank", rank).filter(F.col("rank") <= PER_LANG).orderBy("rank", "lang").limit(TOTAL)
+    few = rows.sparkSession.createDataFrame([(r["lang"], r["h"], r["rank"]) for r in few.collect()], "lang string, h long, rank int")  # TOTAL rows at most
+    return rows.join(F.broadcast(few), ["lang", "h"]).groupBy("rank", "lang").agg(F.min("text").alias("text")).orderBy("rank", "lang").collect()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """For each row: id_col, held_out, lang_pred and score."""
     rows = sample(docs, id_col, text_col, lang_col)
     labels = sorted({r["lang"] for r in rows})
-    tagger = Tagger(labels).fit([words_of(r["text"])[1:-1] for r in rows], [r["lang"] for r in rows])
+    tagger = Tagger(labels).fit([words_of(r["text"]) for r in rows], [r["lang"] for r in rows])
     model = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches):
-        for b in batches:
+        k = len(labels)  # a block of words takes labels * labels numbers
+        for b in C.slices(batches, 2, max(1 << 16, (4 << 20) // max(1, k * k // 64))):
             lang, score = model.value.predict(b.column(2).to_pylist())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [id_col, "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"{id_col} long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), held_out(id_col).alias("held_out"), text_col).mapInArrow(C.released(run), f"{id_col} long, held_out boolean, lang_pred string, score double")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Corpus operators without Spark: round trips, brute force, held-out accuracy."""
 
+import itertools
 import random
 import re
 import zlib
@@ -278,3 +279,19 @@ def test_distinct_grams(texts):
     assert {"".join(map(chr, g)): c for g, c in zip(gram.tolist(), n.tolist())} == want
     look = quality.Sorted(h, n)
     assert look.look_up(quality.hashes(flat, at, 3)).tolist() == [want["".join(map(chr, flat[k : k + 3]))] for k in at]
+
+
+def test_expectations_equal_enumeration():
+    rng = np.random.default_rng(7)
+    e, tn, s = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    p, pairs = np.zeros((2, 4, 3)), np.zeros((3, 3))
+    for n in range(2):
+        weight = {y: np.exp(s[y[0]] + sum(e[n, t, v] for t, v in enumerate(y)) + sum(tn[a, b] for a, b in zip(y, y[1:]))) for y in itertools.product(range(3), repeat=4)}
+        total = sum(weight.values())
+        for y, w in weight.items():
+            for t, v in enumerate(y):
+                p[n, t, v] += w / total
+            for a, b in zip(y, y[1:]):
+                pairs[a, b] += w / total
+    got = langid.expected(e, tn, s)
+    assert np.allclose(got[0], p) and np.allclose(got[1], pairs)
