@@ -204,3 +204,12 @@ def test_bands_are_exact_quartiles(spark):
         assert np.allclose(g.band_low, low - 3 * spread) and np.allclose(g.band_high, high + 3 * spread)
         assert (g.kept == (~g.base_failed & g.log_perplexity.between(low - 3 * spread, high + 3 * spread))).all()
     assert not got[got.doc_id == 200].kept.any()
+
+
+def test_wrapped_notices_are_found(spark):
+    import textwrap
+
+    mit, bsd = (next(t for x, t in licenses.TEMPLATES if x == label and len(t) > size) for label, size in (("mit", 400), ("bsd", 100)))
+    rows = [(k, "Some words\nbefore it.\n" + "\n".join(f"# {x}" for x in textwrap.wrap(t, width)) + "\n\nAnd after.") for k, (t, width) in enumerate((t, w) for t in (mit, bsd) for w in (40, 70, 80))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([*rows, (9, "Some words\nof no license")], "doc_id long, text string")).collect()}
+    assert got == {0: "mit", 1: "mit", 2: "mit", 3: "bsd", 4: "bsd", 5: "bsd", 9: ""}
