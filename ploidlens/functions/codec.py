@@ -45,6 +45,10 @@ def chunks(s: Column, k: int, size: int = CHUNK) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n, F.lit(size)), lambda i: F.substring(s, i + 1, F.lit(size + k - 1)))).otherwise(F.array().cast("array<string>"))
 
 
+def _shifted(n: int):
+    return lambda v: v.bitwiseXOR(F.shiftright(v, n))
+
+
 def mixed_hash(x: Column, bits: int) -> Column:
     """An invertible mix of a code of at most 31 * 2 bits; each addend is masked, so nothing overflows."""
     mask = (1 << bits) - 1
@@ -58,10 +62,13 @@ def mixed_hash(x: Column, bits: int) -> Column:
     def left(a: Column, n: int) -> Column:
         return F.shiftleft(a, n).bitwiseAND(F.lit(mask))
 
-    x = add(F.bitwise_not(x).bitwiseAND(F.lit(mask)), left(x, 21))
-    x = x.bitwiseXOR(F.shiftright(x, 24))
-    x = add(add(x, left(x, 3)), left(x, 8))
-    x = x.bitwiseXOR(F.shiftright(x, 14))
-    x = add(add(x, left(x, 2)), left(x, 4))
-    x = x.bitwiseXOR(F.shiftright(x, 28))
-    return add(x, left(x, 31))
+    def then(x: Column, step) -> Column:  # step(x), with x computed once
+        return F.get(F.transform(F.array(x), step), F.lit(0))
+
+    x = then(x, lambda v: add(F.bitwise_not(v).bitwiseAND(F.lit(mask)), left(v, 21)))
+    for right, first, second in ((24, 3, 8), (14, 2, 4)):
+        x = then(x, _shifted(right))
+        x = then(x, lambda v: F.struct(v.alias("v"), add(v, left(v, first)).alias("w")))  # noqa: B023 (called at once)
+        x = then(x, lambda e: add(e.w, left(e.v, second)))  # noqa: B023
+    x = then(x, _shifted(28))
+    return then(x, lambda v: add(v, left(v, 31)))

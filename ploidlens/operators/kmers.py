@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ploidlens.functions import codec
+from ploidlens.functions import align, codec, rolling
 
-PARTS = 2048
+#: Distinct k-mers that a task counts before it passes them on; listed k-mers that go to all tasks (16 bytes each).
+HELD, LISTED = 2_000_000, 4_000_000
+#: Samples whose depths go to all tasks.
+SAMPLES = 1_000_000
 
 
 def read_kmers(reads: DataFrame, k: int, canonical: bool = True, n_as_a: bool = False, keep: list[str] = ("sample",)) -> DataFrame:
@@ -19,11 +24,66 @@ def read_kmers(reads: DataFrame, k: int, canonical: bool = True, n_as_a: bool =
 
 
 def count(reads: DataFrame, k: int = 31, canonical: bool = True, n_as_a: bool = False) -> DataFrame:
-    """(sample, kmer, cnt). Windows are counted before they are made canonical, which halves the work."""
-    raw = read_kmers(reads, k, False, n_as_a).groupBy("sample", "kmer").agg(F.count("*").alias("cnt"))
-    if not canonical:
-        return raw
-    return raw.groupBy("sample", codec.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+    """(sample, kmer, cnt) of reads (sample, seq). Tasks count codes of k-mers in arrays; one shuffle, of codes, adds these up.
+
+    Null and short sequences have no k-mers; null samples are a sample of their own; an empty table gives no rows.
+    k over 31 is counted as strings. Columns other than sample and seq are ignored."""
+    if k > rolling.LONGEST:
+        return read_kmers(reads, k, canonical, n_as_a).groupBy("sample", "kmer").agg(F.count("*").alias("cnt"))
+    rows = reads.select("sample", "seq")
+
+    def run(batches):
+        names: dict = {}
+        held: list[np.ndarray] = []
+
+        def merged():
+            x = np.concatenate(held)
+            o = np.lexsort((x[:, 1], x[:, 0]))
+            x = x[o]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])) if len(x) else np.zeros(0, np.int64)
+            return np.column_stack([x[first, :2], np.add.reduceat(x[:, 2], first) if len(x) else x[:, 2]])
+
+        def out(x):
+            listed = pa.array(list(names), pa.string())
+            return pa.record_batch([listed.take(pa.array(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1])), pa.array(np.ascontiguousarray(x[:, 2]))], ["sample", "code", "cnt"])
+
+        for b in batches:
+            sample = np.array([names.setdefault(v, len(names)) for v in b.column(0).to_pylist()], np.int64)
+            seqs = b.column(1).to_pylist()
+            for lo in range(0, len(seqs), 500):
+                code, at = rolling.codes(seqs[lo : lo + 500], k, canonical, n_as_a)
+                part = np.column_stack([sample[lo : lo + 500][at], code, np.ones(len(code), np.int64)])
+                held.append(part)
+                if sum(map(len, held)) > HELD:
+                    held = [merged()]
+                    if len(held[0]) > HELD // 2:
+                        yield out(held.pop())
+        if held:
+            yield out(merged())
+
+    counted = rows.withColumn("sample", F.col("sample").cast("string")).mapInArrow(run, "sample string, code long, cnt long")
+    total = counted.groupBy("sample", "code").agg(F.sum("cnt").alias("cnt"))
+    return total.select(F.col("sample").cast(rows.schema["sample"].dataType).alias("sample"), codec.decode(F.col("code"), k).alias("kmer"), "cnt")
+
+
+def in_reads(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, n_reads) of reads (seq): in how many reads each canonical k-mer (k up to 31) is. Null and short reads have none; each row is a read."""
+
+    def run(batches):
+        for b in batches:
+            seqs = b.column(0).to_pylist()
+            for lo in range(0, len(seqs), 500):
+                code, at = rolling.codes(seqs[lo : lo + 500], k)
+                o = np.lexsort((at, code))
+                code, at = code[o], at[o]
+                new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+                one = new | np.concatenate([[True], at[1:] != at[:-1]]) if len(code) else new
+                first = np.flatnonzero(new)
+                if len(first):
+                    yield pa.record_batch([pa.array(code[first]), pa.array(np.add.reduceat(one.astype(np.int64), first))], ["code", "n"])
+
+    found = reads.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n_reads"))
+    return found.select(codec.decode(F.col("code"), k).alias("kmer"), "n_reads")
 
 
 def dump(counts: DataFrame, low: int = 5, high: int = 1000) -> DataFrame:
@@ -52,7 +112,8 @@ def filter_dosage(tidy: DataFrame, depth: DataFrame, n_samples: int, max_count:
     c = tidy.filter(F.col("cnt") <= max_count)
     have = Window.partitionBy("kmer")
     c = c.withColumn("present", F.count("*").over(have)).filter(1 - F.col("present") / F.lit(float(n_samples)) <= max_missing)
-    c = c.join(depth, "sample")
+    few = depth.select("sample", "depth")
+    c = c.join(F.broadcast(few) if few.count() <= SAMPLES else few, "sample")
     return c.select("kmer", "sample", "cnt", F.least(F.lit(float(ploidy)), F.round(F.col("cnt") * ploidy / F.col("depth"))).alias("dosage"))
 
 
@@ -67,18 +128,34 @@ def bimbam_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(", ", "kmer", "allele1", "allele0", F.array_join(F.transform("dosage", lambda x: x.cast("string")), ", ")).alias("value"))
 
 
+def vcf_header(samples: list[str]) -> list[str]:
+    """The lines before genotype lines."""
+    return ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+
+
 def vcf_lines(rows: DataFrame, ploidy: int = 2) -> DataFrame:
-    """Genotype lines of dosages, the diploid call by thirds of the ploidy: 0/0, 0/1, 1/1."""
-    call = F.transform("dosage", lambda d: F.when(d < ploidy / 3, "0/0").when(d <= 2 * ploidy / 3, "0/1").otherwise("1/1"))
+    """Genotype lines of dosages, the diploid call by thirds of the ploidy: 0/0, 0/1, 1/1; ./. for null."""
+    call = F.transform("dosage", lambda d: F.when(d.isNull(), "./.").when(d < ploidy / 3, "0/0").when(d <= 2 * ploidy / 3, "0/1").otherwise("1/1"))
     return rows.select(F.concat_ws("\t", F.lit("0"), F.lit("0"), "kmer", "allele0", "allele1", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join(call, "\t")).alias("value"))
 
 
 def sketch(kmers: DataFrame, n: int, seed: int = 1, chunk: str | None = None) -> DataFrame:
-    """n k-mers (of each chunk) with the smallest seeded hashes; the same on every run."""
+    """n k-mers (of each chunk) with the smallest seeded hashes; the same on every run. Equal k-mers count each.
+
+    Without chunks: a histogram of the hashes' first four digits tells the digits within which the n-th lies; all rows
+    before are taken as they are, and only rows of those digits (one in 65536) are ranked."""
     key = F.md5(F.concat("kmer", F.lit(f":{seed}")))
-    if chunk is None:
-        return kmers.withColumn("h", key).orderBy("h", "kmer").limit(n).drop("h")
-    return kmers.withColumn("rank", F.row_number().over(Window.partitionBy(chunk).orderBy(key, "kmer"))).filter(F.col("rank") <= n).drop("rank")
+    if chunk is not None:
+        return kmers.withColumn("__rank", F.row_number().over(Window.partitionBy(chunk).orderBy(key, "kmer"))).filter(F.col("__rank") <= n).drop("__rank")
+    rows = kmers.withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 4))
+    parts = rows.groupBy("__part").count().orderBy("__part").collect()  # 65536 rows at most
+    upto = 0
+    for r in parts:
+        if upto + r["count"] > n:
+            last = rows.filter(F.col("__part") == r["__part"]).orderBy("__key", "kmer").limit(n - upto)
+            return rows.filter(F.col("__part") < r["__part"]).union(last).drop("__key", "__part")
+        upto += r["count"]
+    return rows.drop("__key", "__part")
 
 
 def retrieve(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -86,13 +163,103 @@ def retrieve(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.select("kmer").distinct(), "kmer", "left_semi")
 
 
+def hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:
+    """For each read with a listed k-mer (kmer, p), on either strand: id_col, p (the smallest) and n_kmers (different ones).
+
+    Up to LISTED k-mers go to all tasks, and reads aren't shuffled but by what they have; more are joined."""
+    listed = kmers.groupBy(codec.canonical(codec.bases(F.col("kmer"))).alias("kmer")).agg(F.min("p").alias("p")).filter(F.length("kmer") == k)
+    rows = reads.select(id_col, "seq")
+    if k > rolling.LONGEST or listed.count() > LISTED:
+        found = read_kmers(rows, k, True, keep=[id_col]).join(listed, "kmer")
+        return found.groupBy(id_col).agg(F.min("p").alias("p"), F.countDistinct("kmer").alias("n_kmers"))
+    got = listed.select(codec.encode(F.col("kmer")).alias("code"), F.col("p").cast("double").alias("p")).filter("code is not null").orderBy("code").toArrow()  # LISTED rows at most
+    held = reads.sparkSession.sparkContext.broadcast((got.column("code").to_numpy(), got.column("p").to_numpy()))
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        code, p = held.value
+        for b in batches:
+            seqs = b.column(1).to_pylist()
+            for lo in range(0, len(seqs), 500):
+                c, at = rolling.codes(seqs[lo : lo + 500], k)
+                if not len(c) or not len(code):
+                    continue
+                place = np.minimum(np.searchsorted(code, c), len(code) - 1)
+                hit = code[place] == c
+                pair = np.unique(np.column_stack([at[hit], place[hit]]), axis=0)
+                read, first, n = np.unique(pair[:, 0], return_index=True, return_counts=True)
+                if len(read):
+                    least = np.fmin.reduceat(p[pair[:, 1]], first)
+                    yield pa.record_batch([b.column(0).take(pa.array(read + lo)), pa.array(least, mask=np.isnan(least)), pa.array(n.astype(np.int64)), pa.array(pair[:, 1][first])], [id_col, "p", "n_kmers", "x"]).select([0, 1, 2])
+
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, p double, n_kmers long")
+
+
 def fetch_reads(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:
-    """Reads with a listed k-mer, and the smallest p of those they have."""
-    hits = read_kmers(reads.select(id_col, "seq"), k, True, keep=[id_col]).join(kmers.select("kmer", "p"), "kmer")
-    return reads.join(hits.groupBy(id_col).agg(F.min("p").alias("p"), F.countDistinct("kmer").alias("n_kmers")), id_col)
+    """Reads with a listed k-mer, and the smallest p of those they have. Ids must be unique; a read with a null id is left out."""
+    return reads.join(hits(reads, kmers, k, id_col), id_col)
 
 
 def add_pvalue(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:
     """All reads, with the smallest p of the listed k-mers that they have, or null."""
-    found = fetch_reads(reads, kmers, k, id_col).select(id_col, "p")
-    return reads.join(found, id_col, "left")
+    return reads.join(hits(reads, kmers, k, id_col).select(id_col, "p"), id_col, "left")
+
+
+def pair_name(name) -> F.col:
+    """What both mates' names have in common: without /1 or /2."""
+    return F.regexp_replace(name, "/[12]$", "")
+
+
+def fetch_pairs(r1: DataFrame, r2: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """Pairs of reads (name, comment, seq, qual), by name, of which one or both have a listed k-mer: pair, p and n_kmers, and a struct for each mate.
+
+    n_kmers adds up both mates'. A read without a mate has none (null struct)."""
+    def side(r, x):
+        cols = F.struct("name", "comment", "seq", "qual").alias(x)
+        rows = r.select(pair_name(F.col("name")).alias("pair"), cols, F.col("seq"))
+        return rows.drop("seq"), hits(rows, kmers, k, "pair")
+
+    (a, ha), (b, hb) = side(r1, "r1"), side(r2, "r2")
+    found = ha.union(hb).groupBy("pair").agg(F.min("p").alias("p"), F.sum("n_kmers").alias("n_kmers"))
+    return found.join(a, "pair", "left").join(b, "pair", "left")
+
+
+def traced(pairs: DataFrame, mate: str) -> DataFrame:
+    """FASTQ records (name, seq, qual) of one mate, the p in the name line."""
+    rows = pairs.filter(F.col(mate).isNotNull())
+    return rows.select(F.concat_ws(" ", F.col(f"{mate}.name"), F.concat(F.lit("p="), F.col("p").cast("string")), F.col(f"{mate}.comment")).alias("name"), F.col(f"{mate}.seq").alias("seq"), F.col(f"{mate}.qual").alias("qual"))
+
+
+def fetch_alignments(records: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
+    """Alignment records whose sequence has a listed k-mer on either strand; repeated names are told apart by their place."""
+    rows = records.withColumn("__id", F.struct("qname", "flag", "chrom", "pos", "cigar", "seq"))
+    return rows.join(hits(rows.select(F.to_json("__id").alias("__j"), "seq").distinct(), kmers, k, "__j"), F.to_json("__id") == F.col("__j"), "left_semi").drop("__id")
+
+
+def tag_pvalue(records: DataFrame, kmers: DataFrame, k: int, tag: str = "XP") -> DataFrame:
+    """All records; those with a listed k-mer get the smallest p as an auxiliary tag (type f), in place of one they have."""
+    rows = records.withColumn("__j", F.to_json(F.struct("qname", "flag", "chrom", "pos", "cigar", "seq")))
+    found = hits(rows.select("__j", "seq").distinct(), kmers, k, "__j").select("__j", "p")
+    rows = rows.join(found, "__j", "left")
+    return rows.withColumn("aux", F.when(F.col("p").isNull(), F.col("aux")).otherwise(align.with_tag(F.col("aux"), tag, "f", F.col("p").cast("string")))).drop("__j", "p")
+
+
+def genome_hits(listed: DataFrame, genome: DataFrame, k: int) -> DataFrame:
+    """Exact places of listed k-mers (kmer) in sequences (name, seq), on both strands: kmer, chrom, pos (0-based), strand.
+
+    Each task has whole sequences; the places of a sequence come from arrays, not from windows as rows."""
+    given = listed.select(codec.bases(F.col("kmer")).alias("kmer")).distinct().withColumn("canon", codec.canonical(F.col("kmer")))
+
+    def run(batches):
+        for b in batches:
+            for name, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = rolling.codes([seq], k, False)[0]
+                y = rolling.codes([seq], k)[0]
+                bad = np.frombuffer((seq or "").upper().replace("U", "T").encode("ascii", "replace"), np.uint8)
+                ok = np.concatenate([[0], np.cumsum(~np.isin(bad, list(b"ACGT")))])
+                at = np.flatnonzero(ok[k:] == ok[:-k]) if len(bad) >= k else np.zeros(0, np.int64)
+                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(y), pa.array(x)], ["chrom", "pos", "code", "own"])
+
+    places = genome.select("name", "seq").mapInArrow(run, "chrom string, pos long, code long, own long")
+    want = given.withColumn("code", codec.encode(F.col("canon"))).withColumn("own_code", codec.encode(F.col("kmer")))
+    return places.join(want, "code").select("kmer", "chrom", "pos", F.when(F.col("own") == F.col("own_code"), "+").otherwise("-").alias("strand"))
