@@ -1,8 +1,10 @@
 """Main text of web pages by the maximum-scoring subsequence of their words and tags.
 
 A page becomes a sequence of tokens. Words score positive and tags negative, with weights that are
-log odds of each kind of token inside and outside the main text of labelled pages (LABELLED, made by
-a rule from page furniture). One linear scan (Kadane) finds the contiguous region of the highest sum.
+log odds of each kind of token inside and outside the main text of labelled pages: pages that mark it themselves,
+by an article or main element. A bounded sample of the table's own such pages is used (PAGES, those with the
+smallest hashes, whole); a table without any gets the weights of a few made by a rule. A page's text doesn't
+depend on its own marks but by these weights. One linear scan (Kadane) finds the contiguous region of the highest sum.
 Of the region, elements known as furniture (menus, headers, footers, sidebars, notices, adverts, forms,
 comments, ...) by tag, role, class or id are left out: their words and tags score nothing, so they don't cut it.
 
@@ -31,7 +33,7 @@ TAG = re.compile(r"""<(/?)([A-Za-z][^\s/><]*)((?:[^><"']|"[^"<]*"|'[^'<]*')*+)>|
 ATTR = re.compile(r"""(?i)(?:^|[\s"'])(class|id|role|hidden|style|itemprop|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[a-z]+|[0-9]+")
 #: Elements whose content is no text of the page.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "audio", "video", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "audio", "video"}
 RAW_END = {t: re.compile(rf"(?i)</{t}\b[^>]*(?:>|$)") for t in RAW}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul head".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +42,9 @@ FURNITURE = set("nav header footer aside form menu dialog button select option d
 NAMES = set("nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager sidebar aside complementary rail footer contentinfo colophon copyright header masthead banner topbar toolbar ad ads advert adverts advertisement adsense adbox sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist respond reply replies disqus discussion related recommended recommendations widget search searchbox form tags skip hidden".split())
 #: Names that also occur for parts of an article ("article-header", "post-footer"): there only as the whole name.
 CONTENT = set("article content post entry main story body text page".split())
+#: Names that make furniture of containers only, as headings and paragraphs of an article may have them, too; and of no element as id.
+AMBIGUOUS = set("search notice notices alert related tags share sharing form widget skip comment comments reply replies login social rail menu notification discussion copyright subscription masthead".split())
+AS_ID = {"discussion", "search", "notice", "notices", "related", "tags"}
 #: Elements followed by depth; others only if they are furniture by name.
 CONTAINERS = set("div section article main nav header footer aside form menu dialog table ul ol dl figure fieldset details body head blockquote button select".split())
 
@@ -54,6 +59,8 @@ def furniture(tag: str, attrs: str) -> bool:
         if key in ("class", "id", "role"):
             for name in value.split():
                 parts = NAME.findall(name)
+                if tag not in CONTAINERS and not AMBIGUOUS.isdisjoint(parts) or key == "id" and name in AS_ID and tag in ("section", "article"):
+                    continue
                 if not NAMES.isdisjoint(parts) and (len(parts) == 1 or CONTENT.isdisjoint(parts) or not NAMES.isdisjoint(set(parts) - {"header", "footer", "form", "tags", "banner", "text"})):
                     return True
     return tag in FURNITURE
@@ -83,7 +90,7 @@ def tokens(html: str):
             continue
         close, attrs = (m[1] or m[4] or "") == "/", m[3] or m[6] or ""
         if tag in RAW and not close:
-            if not attrs.endswith("/") or tag not in ("svg", "math"):
+            if not attrs.endswith("/") or tag != "svg":
                 end = RAW_END[tag].search(html, at)
                 at = end.end() if end else n
             continue
@@ -139,41 +146,56 @@ def _labelled() -> list[tuple[str, bool]]:
     return out
 
 
-def fit(pages: list[tuple[str, bool]]) -> dict[str, float]:
+def marked(html: str) -> list[tuple[str, int, bool]]:
+    """Kinds of tokens of a page that marks its main text, with numbers of words (tags: 1) and whether they are in it."""
+    out, depth = [], 0
+    for kind, text, _, kept in tokens(html):
+        depth += (kind in ("article", "main")) - (kind in ("/article", "/main"))
+        out.append((kind, len(text.split()) if text else 1, kept and depth > 0 and kind not in ("article", "main")))
+    return out if any(inside for _, _, inside in out) else []
+
+
+def fit(found: list[tuple[str, int, bool]]) -> dict[str, float]:
     """Weights of kinds of tokens: log odds within and outside the main text; of tags below 0, of words above."""
     inside, outside = Counter(), Counter()
-    for html, main in pages:
-        for kind, text, _, _ in tokens(html):
-            (inside if main else outside)[kind] += len(text.split()) if text else 1
-    a, b = sum(inside.values()), sum(outside.values())
+    for kind, n, main in found:
+        (inside if main else outside)[kind] += n
+    a, b = max(1, sum(inside.values())), max(1, sum(outside.values()))
     out = {k: math.log((inside[k] + 0.5) / a) - math.log((outside[k] + 0.5) / b) for k in {*inside, *outside}}
-    return {k: max(0.1, v) if k in ("word", "link") else 0.0 if k == "other" else min(-0.1, max(LEAST, v)) for k, v in out.items()}
+    out = {k: min(MOST, max(0.1, v)) if k in ("word", "link") else 0.0 if k == "other" else min(-0.1, max(LEAST, v)) for k, v in out.items()}
+    return {"word": 0.1, "link": 0.1, "other": 0.0} | out
 
 
-#: Tags seen only outside the main text count no less than this; tags never seen count UNSEEN.
-LEAST, UNSEEN = -1.2, -0.5
-WEIGHTS = fit(_labelled())
+#: Tags seen only outside the main text count no less than this; tags never seen count UNSEEN; words count MOST at most.
+LEAST, UNSEEN, MOST = -1.2, -0.5, 4.0
+#: Pages that the weights are learned from at most.
+PAGES = 200
+WEIGHTS = fit([(kind, len(text.split()) if text else 1, main) for page, main in _labelled() for kind, text, _, _ in tokens(page)])
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page."""
-    if not html:
-        return ""
-    seq = list(tokens(html))
-    best, here, start, region = 0.0, 0.0, 0, (0, 0)
+def region(seq: list, weights: dict[str, float] = WEIGHTS) -> tuple[int, int]:
+    """Where the contiguous region of the highest sum begins and ends; the first of equal ones."""
+    best, here, start, found = 0.0, 0.0, 0, (0, 0)
     for k, (kind, text, _, kept) in enumerate(seq):
-        if text:
-            gain = WEIGHTS[kind] * len(text.split()) if kept else 0.0
-        else:
-            gain = WEIGHTS.get(kind, UNSEEN) if kept else 0.0
+        gain = 0.0
+        if kept:
+            gain = weights[kind] * len(text.split()) if text else weights.get(kind, UNSEEN)
         if here <= 0 and gain > 0:
             here, start = 0.0, k
         here += gain
         if here > best:
-            best, region = here, (start, k + 1)
+            best, found = here, (start, k + 1)
+    return found
+
+
+def extract(html: str | None, weights: dict[str, float] = WEIGHTS) -> str:
+    """The main text of a page."""
+    if not html:
+        return ""
+    seq = list(tokens(html))
+    a, b = region(seq, weights)
     blocks: list[str] = []
     last = None
-    a, b = region
     while a and seq[a - 1][2] == seq[a][2]:  # whole blocks
         a -= 1
     while 0 < b < len(seq) and seq[b][2] == seq[b - 1][2]:
@@ -193,12 +215,25 @@ def extract(html: str | None) -> str:
     return "\n".join(b for b in (" ".join(unescape(x).split()) for x in blocks) if b)
 
 
+def learned(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
+    """Weights from PAGES different pages of the table that mark their main text; those of WEIGHTS if none does."""
+    h = F.col(f"`{html_col}`")
+    rows = pages.filter(h.rlike("(?i)<(article|main)[\\s>]")).select(F.xxhash64(h).alias("h"), h.alias("html"))
+    few = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(PAGES).collect()]
+    if not few:
+        return WEIGHTS
+    got = rows.filter(F.col("h").isin(few)).groupBy("h").agg(F.min("html").alias("html")).collect()  # PAGES rows at most
+    found = [x for r in got for x in marked(r["html"])]
+    return fit(found) if found else WEIGHTS
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """For each page: id_col, url_col, text and n_chars."""
+    weights = learned(pages, html_col)
 
     def run(batches):
         for b in batches:
-            text = [extract(h) for h in b.column(2).to_pylist()]
+            text = [extract(h, weights) for h in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias(id_col), F.col(url_col).cast("string").alias(url_col), html_col).mapInArrow(run, f"{id_col} long, {url_col} string, text string, n_chars long")

@@ -114,6 +114,26 @@ def test_media_round_trip(texts):
     assert all(len(x) % 64 == 0 and len(x) for x in p)
 
 
+def test_damage_and_other_chunks():
+    x = np.arange(12, dtype=np.uint32).reshape(3, 4) | np.uint32(0xFF000000)
+    d = webp.encode(x, (2,), 3, True)
+    wide = d[:12] + b"VP8X" + (10).to_bytes(4, "little") + bytes(10) + b"ICCP" + (3).to_bytes(4, "little") + bytes(4) + d[12:]
+    wide = wide[:4] + (len(wide) - 8).to_bytes(4, "little") + wide[8:]
+    assert (webp.decode(wide) == x).all()
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        k = int(rng.integers(8 * 20, 8 * len(d)))
+        b = bytearray(d)
+        b[k // 8] ^= 1 << k % 8
+        try:
+            webp.decode(bytes(b))
+        except ValueError:
+            pass
+    flat = webp.payload("ab" * 300)[0]
+    m = webp.media_of([flat, webp.payload(None)[0]])
+    assert [webp.samples(i) for i in webp.images_of(m)] == [flat, bytes(64)] and len(m[0]) < len(webp._encode_some([flat])[0])
+
+
 def _plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -257,6 +277,28 @@ def test_long_menus_do_not_cut_an_article(menu):
     assert html.extract(page) == "\n".join([part(5, "Head"), part(60, "First"), part(50, "Second")])
 
 
+def test_names_of_headings_and_sections_do_not_lose_text():
+    words = "some words of an article that are read"
+    page = f'<body><article><h2 id="search">Search in trees</h2><p class="notice">Take {words}</p><section id="discussion"><p>We {words}</p></section><p>Energy is <math><mi>E</mi></math> as shown</p><div class="notice">Cookies</div><p>{words}</p></article></body>'
+    assert html.extract(page) == f"Search in trees\nTake {words}\nWe {words}\nEnergy is E as shown\n{words}"
+
+
+@given(st.lists(st.sampled_from(["a b c ", "word ", "<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<ul>", "<li>", "<br>", "<h2>", "</h2>"]), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_the_scan_finds_the_best_of_all_regions(parts):
+    seq = list(html.tokens("".join(parts)))
+    gain = [html.WEIGHTS[k] * len(t.split()) if t and kept else html.WEIGHTS.get(k, html.UNSEEN) if kept and not t else 0.0 for k, t, _, kept in seq]
+    best = max((sum(gain[a:b]) for a in range(len(seq)) for b in range(a + 1, len(seq) + 1)), default=0.0)
+    a, b = html.region(seq)
+    assert abs(sum(gain[a:b]) - max(best, 0.0)) < 1e-9
+
+
+def test_weights_from_marked_pages():
+    found = html.marked("<body><nav><ul><li><a href=x>one</a></li></ul></nav><article><p>many words are here to read</p></article></body>")
+    w = html.fit(found)
+    assert w["word"] > 0 > w["li"] and html.marked("<p>no mark") == []
+
+
 def test_main_text():
     assert html.extract(PAGE) == "Title & all\nFirst paragraph here with words enough.\nSecond paragraph with words, linked too.\nitem one\nitem two"
     assert html.extract(None) == html.extract("") == html.extract("<p>") == ""
