@@ -167,6 +167,8 @@ def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([nodes[label[own]], nodes[own]], 1) if len(own) else NO_EDGE
 
 
+#: Edges of a node that its join isn't left to one task for, and nodes (32 bytes each) that go to all tasks at most.
+HUB, HUBS = 1000, 1_000_000
 NODE = "struct<a:bigint,b:bigint>"
 EDGES = f"u {NODE}, v {NODE}"
 _PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
@@ -211,14 +213,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges no longer change; each step joins
     with a minimum for each node, and is staged; the table before goes. No component is ever gathered
-    in one place. comp is the smallest node. No edges: no rows. Loops and repeated edges don't matter.
+    in one place: nodes with over HUB edges (of which there are fewer than edges / HUB) are joined by sending their
+    minima to all tasks, if they are HUBS at most. comp is the smallest node. No edges: no rows. Loops and repeated
+    edges don't matter.
     """
     now = staged(edges.select("u", "v").filter("u <> v").mapInArrow(released(local_forest), EDGES).distinct(), "edges")
-    before = None
+    before, edges = None, now.count()
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        later = both.filter("v > u")
+        if HUB < edges <= HUB * HUBS // 2:
+            hubs = least.filter(F.col("n") > HUB).select("u", F.col("m").alias("h"))
+            later = later.join(F.broadcast(hubs), "u", "left")
+            large = later.filter("h is not null").select("v", F.col("h").alias("m")).union(later.filter("h is null").join(least, "u").select("v", "m"))
+        else:
+            large = later.join(least, "u").select("v", "m")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         last, now = now, staged(small, "edges")
@@ -226,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sign == before:
             break
-        before = sign
+        before, edges = sign, sign[0]
     star = now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp")
     out = staged(star.union(star.select(F.col("comp").alias("node"), "comp").distinct()), "components")
     dropped(now)

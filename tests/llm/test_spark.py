@@ -213,3 +213,18 @@ def test_wrapped_notices_are_found(spark):
     rows = [(k, "Some words\nbefore it.\n" + "\n".join(f"# {x}" for x in textwrap.wrap(t, width)) + "\n\nAnd after.") for k, (t, width) in enumerate((t, w) for t in (mit, bsd) for w in (40, 70, 80))]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([*rows, (9, "Some words\nof no license")], "doc_id long, text string")).collect()}
     assert got == {0: "mit", 1: "mit", 2: "mit", 3: "bsd", 4: "bsd", 5: "bsd", 9: ""}
+
+
+@pytest.mark.parametrize("hub", [2, 10**6])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
+    rng = np.random.default_rng(8)
+    edges = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(80)] + [tuple(x) for x in rng.integers(300, 420, (70, 2)).tolist()] + [(5, 5), (0, 3)]
+    node = lambda k: (k * 7919 % 1009 - 500, k)
+    df = spark.createDataFrame([(node(a), node(b)) for a, b in edges], common.EDGES.replace("u ", "u: ").replace(", v ", ", v: ")).repartition(5)
+    label = {k: node(k) for e in edges for k in e if e[0] != e[1]}
+    for _ in range(len(label)):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert {tuple(r.node): tuple(r.comp) for r in common.components(df).collect()} == {node(k): c for k, c in label.items()}
