@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ploidlens.functions import align, codec, logic
-from ploidlens.operators import gwas, intervals, kmers
+from ploidlens.operators import gwas, intervals, kmers, mods
 
 LETTERS, AS = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 K = 7
@@ -302,6 +302,22 @@ def pileup(spark, d):
     return intervals.pileup(intervals.aligned_bases(_records(spark, d)))
 
 
+def _modified(spark, d):
+    """The records with one group of modified bases each."""
+    of = lambda t, v: F.struct(F.lit(t).alias("type"), v.cast("string").alias("value"))
+    n = F.col("qname").cast("long")
+    aux = F.create_map(F.lit("MM"), of("Z", F.concat(F.lit("C+mh?,"), (n % 3).cast("string"), F.lit(",1;"))), F.lit("ML"), of("B", F.concat(F.lit("C,200,10,"), (n % 256).cast("string"), F.lit(",0"))))
+    return _records(spark, d).withColumns({"seq": F.repeat(F.lit("AACGT"), 5), "aux": aux})
+
+
+def base_modifications(spark, d):
+    return mods.base_modifications(_modified(spark, d)).drop("flag")
+
+
+def modification_kinds(spark, d):
+    return mods.modification_kinds(_modified(spark, d)).select("qname", "canonical", "strand", F.concat_ws(",", "codes").alias("codes"), "implicit")
+
+
 def insertions(spark, d):
     return intervals.inserted(_records(spark, d)).select("qname", "pos", "text")
 
@@ -380,7 +396,7 @@ def base_codes(spark, d):
     return r.select("read_id", "b", F.when(F.col("b") != "", code).cast("long").alias("code"), F.when(F.col("b") != "", align.nt16_int(code)).cast("long").alias("i"))
 
 
-MORE = (region_text, number_text, flag_names, bh_adjusted, significant_fasta, kth_price, name_ids, mapping_counts, region_fetch, pileup, insertions, record_filter, targets, variant_exact, variant_snps, variant_some, fetch_pairs, genome_hits, sequence_parts, part_sets, name_hash, base_codes)
+MORE = (region_text, number_text, flag_names, bh_adjusted, significant_fasta, kth_price, name_ids, mapping_counts, region_fetch, pileup, base_modifications, modification_kinds, insertions, record_filter, targets, variant_exact, variant_snps, variant_some, fetch_pairs, genome_hits, sequence_parts, part_sets, name_hash, base_codes)
 QUERIES = {f.__name__: f for f in (kmer_count, kmer_dump, kmer_matrix, kmer_matrix_all, kmer_filter_dosage, assoc_ols, assoc_lmm, bimbam_rows, kinship_entries, bh_threshold, sketch, sketch_per_chunk, fetch_reads, add_pvalue, retrieve, codec_roundtrip, first_hit, manhattan, interval_overlap, interval_semi, interval_anti, sample_discovery, flags, cigar_lengths, bins, variant_sync, three_state, *MORE)}
 
 EMBED = "t AS (SELECT vec_id AS sample, label, unnest(range(0, 64)) AS m, CAST(unnest(embedding) AS DOUBLE) AS dosage FROM embeddings)"
@@ -426,6 +442,8 @@ ORACLE_SQL |= {
     "mapping_counts": f"{RECORDS} SELECT chrom, count(*) FILTER (flag <> 4) AS mapped, count(*) FILTER (flag = 4) AS unmapped FROM o GROUP BY chrom",
     "region_fetch": f"{RECORDS} SELECT CAST(o_orderkey AS VARCHAR) AS qname FROM o WHERE chrom = 'c1' AND pos < 900 AND pos + CASE WHEN flag = 4 THEN 1 ELSE 20 END > 500",
     "pileup": f"{RECORDS}, b AS (SELECT chrom, pos + i AS pos, i BETWEEN 10 AND 12 AS gap FROM (SELECT chrom, pos, unnest(range(0, 20)) AS i FROM o WHERE flag <> 4)) SELECT chrom, pos, count(*) FILTER (NOT gap) AS depth, count(*) FILTER (gap) AS n_del FROM b GROUP BY ALL",
+    "base_modifications": f"{RECORDS}, m AS (SELECT o_orderkey, flag, CASE WHEN j < 2 THEN 0 ELSE 2 END + o_orderkey % 3 AS nth, CASE j % 2 WHEN 0 THEN 'm' ELSE 'h' END AS code, CASE j WHEN 0 THEN 200 WHEN 1 THEN 10 WHEN 2 THEN o_orderkey % 256 ELSE 0 END AS qual FROM (SELECT o_orderkey, flag, unnest(range(0, 4)) AS j FROM o)) SELECT CAST(o_orderkey AS VARCHAR) AS qname, CAST(CASE WHEN flag = 16 THEN 23 - 5 * nth ELSE 2 + 5 * nth END AS BIGINT) AS qpos, 'C' AS canonical, '+' AS strand, code, CAST(qual AS INT) AS qual, false AS implicit FROM m",
+    "modification_kinds": "SELECT CAST(o_orderkey AS VARCHAR) AS qname, 'C' AS canonical, '+' AS strand, 'm,h' AS codes, false AS implicit FROM orders",
     "insertions": f"{RECORDS} SELECT CAST(o_orderkey AS VARCHAR) AS qname, pos + 12 AS pos, substr(repeat('ACGT', 6), 16, 2) AS text FROM o WHERE flag <> 4",
     "record_filter": f"{RECORDS} SELECT CAST(o_orderkey AS VARCHAR) AS qname FROM o WHERE mapq >= 30 AND flag <> 4 AND (nm < 3 OR chrom IN ('c0', 'c2'))",
     "targets": f"{INTERVALS} SELECT a.id FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.id % 50 = 0 AND a.chrom = b.chrom AND a.beg < b.e AND b.beg <= a.beg)",

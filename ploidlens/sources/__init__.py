@@ -229,6 +229,41 @@ def regions(lines: DataFrame, form: str) -> DataFrame:
     return rows.select(at(0).alias("chrom"), beg.alias("beg"), end.alias("end"))
 
 
+#: Columns of name, begin and end (from 1; 0: none), whether begin counts from 0, and the mark of comments.
+PRESETS = {"gff": (1, 4, 5, False, "#"), "bed": (1, 2, 3, True, "#"), "psltbl": (15, 17, 18, True, "#"), "sam": (3, 4, 0, False, "@"), "vcf": (1, 2, 0, False, "#")}
+
+
+def positioned(lines: DataFrame, preset: str | tuple[int, int, int, bool, str]) -> DataFrame:
+    """chrom, beg, end (0-based half-open) and value of tab-separated lines, in a preset's columns or in others.
+
+    Without an end column a line covers one base; sam takes the end from the CIGAR, vcf from END= or the reference allele.
+    Lines that aren't positioned (comments, empty ones, no number or too few columns) go. Repeated lines stay.
+    """
+    from ploidlens.functions.align import end_position
+
+    if isinstance(preset, str) and preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset}")
+    name, first, last, zero, mark = PRESETS[preset] if isinstance(preset, str) else preset
+    p = F.split("value", "\t")
+    at = lambda k: F.get(p, F.lit(k - 1))
+    beg = at(first).try_cast("long") - (0 if zero else 1)
+    if preset == "sam":
+        end = end_position(beg, F.coalesce(at(2).try_cast("int"), F.lit(0)), at(6))
+    elif preset == "vcf":
+        end = F.coalesce(F.regexp_extract(at(8), r"(?:^|;)END=(\d+)", 1).try_cast("long"), beg + F.length(at(4)))
+    else:
+        end = at(last).try_cast("long") if last else beg + 1
+    rows = lines.filter(~F.col("value").startswith(mark)).select(at(name).alias("chrom"), beg.alias("beg"), end.alias("end"), "value")
+    return rows.filter("chrom is not null and beg >= 0 and end is not null")
+
+
+def write_sorted(rows: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes rows (chrom, beg, ...) as Parquet in that order, dealt by ranges: least and greatest values of each file and row group are the index that filters on chrom and beg use."""
+    by = ("chrom", "beg")
+    dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.parquet(path)
+
+
 def sam(lines: DataFrame) -> DataFrame:
     """Alignments of SAM lines (value): the fixed fields (pos 0-based) and aux, a map of tags."""
     from ploidlens.functions.align import aux_tags

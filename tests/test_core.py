@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ploidlens import sources
 from ploidlens.functions import align, codec, logic, rolling, stats
-from ploidlens.operators import gwas, intervals, kmers
+from ploidlens.operators import gwas, intervals, kmers, mods
 from ploidlens.plans import pipeline
 
 
@@ -280,6 +280,74 @@ def test_pileup_and_insertions(spark):
     assert q == {(13, "T", 32), (13, "A", 0), (18, "", 0), (18, "C", 2)} or {x for x in q if x[0] == 13} == {(13, "T", 32), (13, "A", 0)}
 
 
+def walked(seq, reverse, mm, ml):
+    """Modifications by walking over the sequence base by base, for each group."""
+    out, at = [], 0
+    pair = dict(zip("ACGTN", "TGCAN"))
+    for part in mm.split(";")[:-1]:
+        head, *skips = part.split(",")
+        codes, skips = head[2:].rstrip(".?"), list(map(int, skips))
+        for i in range(len(seq)):
+            q = len(seq) - 1 - i if reverse else i
+            b = pair[seq[q]] if reverse else seq[q]
+            if skips and head[0] in (b, "N"):
+                if skips[0] == 0:
+                    for c in [codes] if codes.isdigit() else codes:
+                        out.append((q, head[0], head[1], c, ml[at], not head.endswith("?")))
+                        at += 1
+                    skips.pop(0)
+                else:
+                    skips[0] -= 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_modifications_equal_a_walk(seed):
+    r = np.random.default_rng(seed)
+    seq = "".join(r.choice(list("ACGTN"), 300))
+    mm, n = "", 0
+    for kind in ("C+m", "C+mh?", "A-a.", "N+27551", "G-76792?"):
+        skips = r.integers(0, 4, 8)
+        mm += ",".join([kind, *map(str, skips)]) + ";"
+        n += 16 if "mh" in kind else 8
+    ml = r.integers(0, 256, n).tolist()
+    for reverse in (False, True):
+        assert mods.modified(seq, reverse, mm, ml) == walked(seq, reverse, mm, ml)
+
+
+def test_modifications(spark):
+    def rows(unchecked=False, flag=0, seq="ACCGC", **tags):
+        aux = {k: (("B" if k.upper() == "ML" else "i" if k == "MN" else "Z"), v) for k, v in tags.items()}
+        df = spark.createDataFrame([("r", flag, seq, aux)], "qname string, flag int, seq string, aux map<string,struct<type:string,value:string>>")
+        return [tuple(r)[2:] for r in mods.base_modifications(df, unchecked).orderBy("qpos", "code").collect()], [tuple(r)[2:] for r in mods.modification_kinds(df).collect()]
+
+    assert rows(MM="C+m?,1;", ML="C,9") == ([(2, "C", "+", "m", 9, False)], [("C", "+", ["m"], False)])
+    assert rows(True, MM="C+m?,1;")[0] == [(1, "C", "+", "m", mods.UNCHECKED, False), (2, "C", "+", "m", mods.UNKNOWN, False), (4, "C", "+", "m", mods.UNCHECKED, False)]
+    assert rows(Mm="C+mh.,0;", Ml="C,1,2")[0] == [(1, "C", "+", "h", 2, True), (1, "C", "+", "m", 1, True)] and rows(flag=16, MM="G-m,0;", MN="5")[0] == [(4, "G", "-", "m", mods.UNKNOWN, True)]
+    assert rows(MM="C+m;") == ([], [("C", "+", ["m"], True)])
+    for bad in ({"MM": "C+m,3;"}, {"MM": "C*m,0;"}, {"MM": "C+m,0;", "ML": "C,1,2"}, {"MM": "C+m,0,0;", "ML": "C,1"}, {"MM": "C+m,0;", "MN": "9"}, {"MM": ""}, {}):
+        assert rows(**bad)[0] == []
+    assert rows(seq=None, MM="C+m,0;") == rows(seq="*", MM="C+m,0;") == ([], [])
+
+
+def test_positioned_lines_and_sorted_tables(spark, tmp_path):
+    def rows(preset, *lines):
+        return [tuple(r)[:3] for r in sources.positioned(spark.createDataFrame([(x,) for x in lines], "value string"), preset).collect()]
+
+    assert rows("gff", "#x", "c\ts\tgene\t5\t9\t.", "c", "", "c\ts\tgene\tx\t9") == [("c", 4, 9)] and rows("bed", "c\t5\t9", "c\t5\t9") == [("c", 5, 9)] * 2
+    assert rows("sam", "@SQ\tSN:c", "r\t0\tc\t11\t60\t5M2D3M\t*\t0\t0\tA\tI", "r\t4\t*\t0\t0\t*\t*\t0\t0\tA\tI") == [("c", 10, 20)]
+    assert rows("vcf", "c\t5\t.\tACG\tA\t.\t.\tDP=1", "c\t5\t.\tN\t<DEL>\t.\t.\tDP=1;END=90") == [("c", 4, 7), ("c", 4, 90)]
+    assert rows((2, 1, 0, True, "!"), "!7\tc", "7\tc") == [("c", 7, 8)] and rows("psltbl", "\t".join(["0"] * 14 + ["c", "99", "3", "8"])) == [("c", 3, 8)]
+    with pytest.raises(ValueError):
+        rows("other", "x")
+    df = spark.range(1000).selectExpr("concat('c', id % 3) AS chrom", "(id * 37) % 1000 AS beg", "(id * 37) % 1000 + 5 AS end")
+    sources.write_sorted(df, str(tmp_path / "t"), 4)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert intervals.fetch_region(back, "c1:101-200", "beg", "end").count() == df.filter("chrom = 'c1' and beg < 200 and end > 100").count() > 0
+    per = back.withColumn("f", F.input_file_name()).groupBy("f").agg(F.min(F.struct("chrom", "beg")).alias("lo"), F.max(F.struct("chrom", "beg")).alias("hi")).orderBy("lo").collect()
+    assert len(per) == 4 and all(a.hi <= b.lo for a, b in zip(per, per[1:]))
+
+
 def test_region_files(spark):
     def rows(form, *lines):
         return sorted(map(tuple, sources.regions(spark.createDataFrame([(x,) for x in lines], "value string"), form).collect()))
