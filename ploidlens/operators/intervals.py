@@ -174,16 +174,16 @@ def passes_filter(df: DataFrame, names: list[str], col: str = "filter") -> DataF
 
 
 def aligned_bases(reads: DataFrame) -> DataFrame:
-    """One row for each base or gap on the reference: chrom, pos, qname, qpos, is_del, is_refskip, base, qual."""
+    """One row for each base or gap on the reference: chrom, pos, qname, qpos, is_del, is_refskip, base, q (quality), reverse."""
     ops = align.cigar_ops(F.col("cigar"))
     zero = F.struct(F.col("pos").cast("long").alias("r"), F.lit(0).cast("long").alias("q"), F.array().cast("array<struct<r:bigint,q:bigint,len:bigint,op:string>>").alias("out"))
     uses = lambda x, s: F.when(x.op.isin(*s), x.len).otherwise(F.lit(0).cast("long"))
     step = lambda a, x: F.struct((a.r + uses(x, align.REFERENCE_OPS)).alias("r"), (a.q + uses(x, align.QUERY_OPS)).alias("q"), F.when(x.op.isin(*align.REFERENCE_OPS), F.concat(a.out, F.array(F.struct(a.r.alias("r"), a.q.alias("q"), x.len.alias("len"), x.op.alias("op"))))).otherwise(a.out).alias("out"))
-    rows = reads.filter(~align.has_flag(F.col("flag"), "UNMAP")).select("chrom", "qname", "seq", "qual", F.explode(F.aggregate(ops, zero, step, lambda a: a.out)).alias("o"))
-    rows = rows.select("chrom", "qname", "seq", "qual", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o.len") - 1)).alias("i")).filter("o.len > 0")
+    rows = reads.filter(~align.has_flag(F.col("flag"), "UNMAP")).select("chrom", "qname", "seq", "qual", align.has_flag(F.col("flag"), "REVERSE").alias("reverse"), F.explode(F.aggregate(ops, zero, step, lambda a: a.out)).alias("o"))
+    rows = rows.select("chrom", "qname", "seq", "qual", "reverse", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o.len") - 1)).alias("i")).filter("o.len > 0")
     gap = F.col("o.op").isin("D", "N")
     q = F.when(~gap, F.col("o.q") + F.col("i"))
-    return rows.select("chrom", (F.col("o.r") + F.col("i")).alias("pos"), "qname", q.alias("qpos"), (F.col("o.op") == "D").alias("is_del"), (F.col("o.op") == "N").alias("is_refskip"), F.substr("seq", (q + 1).cast("int"), F.lit(1)).alias("base"), (F.ascii(F.substr("qual", (q + 1).cast("int"), F.lit(1))) - 33).alias("q"))
+    return rows.select("chrom", (F.col("o.r") + F.col("i")).alias("pos"), "qname", q.alias("qpos"), (F.col("o.op") == "D").alias("is_del"), (F.col("o.op") == "N").alias("is_refskip"), F.substr("seq", (q + 1).cast("int"), F.lit(1)).alias("base"), (F.ascii(F.substr("qual", (q + 1).cast("int"), F.lit(1))) - 33).alias("q"), "reverse")
 
 
 def pileup(bases: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ploidlens import sources
 from ploidlens.functions import align, codec, logic, rolling, stats
-from ploidlens.operators import gwas, intervals, kmers, mods
+from ploidlens.operators import alleles, gwas, intervals, kmers, mods
 from ploidlens.plans import pipeline
 
 
@@ -280,6 +280,41 @@ def test_pileup_and_insertions(spark):
     assert q == {(13, "T", 32), (13, "A", 0), (18, "", 0), (18, "C", 2)} or {x for x in q if x[0] == 13} == {(13, "T", 32), (13, "A", 0)}
 
 
+def tail(n, k, e):
+    return math.fsum(math.comb(n, i) * e**i * (1 - e) ** (n - i) for i in range(k, n + 1))
+
+
+def by_base(bases):
+    """Likelihoods of genotypes, base by base, with sums of plain binomial terms."""
+    n, out = len(bases), {}
+    for g in alleles.PAIRS:
+        cost, seen, strand = 0.0, {}, {}
+        for b, s, q in sorted(bases, key=lambda x: (-x[2], x[0], x[1])):
+            k, w = seen.get(b, 0), strand.get((b, s), 0)
+            if b not in g:
+                e = 10 ** (-q / 10)
+                cost -= 10 * math.log10(tail(n, k + 1, e) / tail(n, k, e)) * (0.83**w * 0.97 + 0.03)
+            seen[b], strand[b, s] = k + 1, w + 1
+        i, j = seen.get(g[0], 0), seen.get(g[1], 0)
+        out[g] = cost if g[0] == g[1] else cost - 10 * math.log10(math.comb(i + j, j) / 2 ** (i + j))
+    return out
+
+
+def test_allele_likelihoods(spark):
+    r = np.random.default_rng(5)
+    at = {p: [(str(r.choice(list("ACGT"), p=[0.6, 0.3, 0.05, 0.05])), bool(r.integers(2)), int(r.integers(4, 42))) for _ in range(n)] for p, n in enumerate((1, 2, 9, 30))}
+    rows = [("c", p, b, s, q, False, False) for p, x in at.items() for b, s, q in x]
+    rows += [("c", 0, "", False, None, True, False), ("c", 0, "N", False, 30, False, False), ("c", 9, "A", False, None, False, False)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, base string, reverse boolean, q int, is_del boolean, is_refskip boolean")
+    got = {(x.pos, x.genotype): (x.depth, x.likelihood) for x in alleles.allele_likelihoods(df).collect()}
+    want = {(p, g): (len(x), v) for p, x in at.items() for g, v in by_base(x).items()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+    assert alleles.allele_likelihoods(df.limit(0)).count() == 0
+    deep = alleles.likelihoods(np.array([0, 1]), np.array([0, 0]), np.array([40, 40]), np.array([30000, 30000]))
+    assert np.isfinite(deep).all() and alleles.PAIRS[int(deep.argmin())] == "AC"
+    assert alleles.allele_likelihoods(intervals.aligned_bases(sam(spark))).filter("likelihood < 0").count() == 0
+
+
 def walked(seq, reverse, mm, ml):
     """Modifications by walking over the sequence base by base, for each group."""
     out, at = [], 0
