@@ -134,6 +134,66 @@ def test_damage_and_other_chunks():
     assert [webp.samples(i) for i in webp.images_of(m)] == [flat, bytes(64)] and len(m[0]) < len(webp._encode_some([flat])[0])
 
 
+def _forms(files):
+    """Of each file: the kinds of its transforms, and whether its code has back-references."""
+    out = []
+    for d in files:
+        r, w, _, h, transforms = webp._opened(d)
+        out.append(([t[0] for t in transforms], int(webp._entropy(r, w, h, True)[3][0][0][0].max()) >> 4 > 255))
+    return out
+
+
+def test_media_of_any_payload_has_the_steps_that_shorten_it():
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 9, 200)]
+    prose = webp.payload(" ".join(words[k] for k in rng.integers(0, 200, 2000)))[0]
+    smooth = (np.cumsum(rng.integers(-2, 3, 64 * 200)) % 256).astype(np.uint8).tobytes()
+    again = bytes(rng.integers(0, 256, 6400, dtype=np.uint8)) * 2  # one reference beyond the longest
+    noise = bytes(rng.integers(0, 256, 6400, dtype=np.uint8))
+    p = [prose, smooth, again, noise, b"abcd" * 16, bytes(64)]
+    files = webp.encode_many(p)
+    assert [webp.samples([webp.decode(d)]) for d in files] == p == [webp.samples([x]) for x in webp.decode_many(files)]
+    forms = _forms(files)
+    assert forms[0] == ([webp.SUBTRACT], True) and forms[2] == ([webp.SUBTRACT], True)
+    assert forms[1][0] == [webp.SUBTRACT, webp.PREDICTOR] and forms[3] == ([webp.SUBTRACT], False)
+    literals = webp._encode_some(p)
+    assert len(files[0]) < 0.8 * len(literals[0]) and len(files[1]) < 0.6 * len(literals[1]) and len(files[2]) < 0.52 * len(literals[2])
+    assert len(files[3]) == len(literals[3])
+    assert (webp.decode(files[0]) >> 16 & 255 == webp.decode(files[0]) & 255).all()  # grey
+
+
+def test_a_file_does_not_depend_on_what_is_encoded_with_it():
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 113, n))) for n in rng.integers(1, 7, 60)]
+    p = [webp.payload(" ".join(words[k] for k in rng.integers(0, 60, n)))[0] for n in rng.integers(1, 3000, 60)]
+    files = webp.encode_many(p)
+    assert files == [webp.encode_many([x])[0] for x in p] == webp.encode_many(p[::-1])[::-1]
+
+
+def test_each_predictor_is_undone():
+    rng = np.random.default_rng(6)
+    x = np.uint32(0xFF000000) | rng.integers(0, 256, (9, 64), dtype=np.uint32) << np.uint32(8)
+    for mode in range(14):
+        modes = np.full((3, 16), mode, np.uint32)
+        r = webp.predicted(x, modes, 2, False)
+        assert not (r & 0xFFFF00FF).any() and (webp.predicted(r, modes, 2, True) == x).all()
+
+
+@given(st.lists(st.lists(st.sampled_from([b"a", b"bc", b"the same again ", bytes(range(40)), b"\0" * 70, b"xyz" * 50]), max_size=30).map(b"".join), min_size=1, max_size=6), st.integers(0, 3000))
+@settings(max_examples=40, deadline=None)
+def test_references_by_many_and_by_one(parts, k):
+    p = [webp.payload(x.decode())[0] for x in parts]
+    files = webp.encode_many(p)
+    one = [webp.decode(d) for d in files]
+    assert [webp.samples([x]) for x in one] == p and all((x == y).all() for x, y in zip(one, webp.decode_many(files)))
+    b = bytearray(max(files, key=len))
+    b[21 + k % (len(b) - 21)] ^= 1 << k % 8
+    try:
+        webp.decode_many([bytes(b), *files])
+    except ValueError:
+        pass
+
+
 def _plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
