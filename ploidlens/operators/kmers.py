@@ -11,8 +11,8 @@ from ploidlens.functions import align, codec, rolling
 
 #: Distinct k-mers that a task counts before it passes them on; listed k-mers that go to all tasks (16 bytes each).
 HELD, LISTED = 2_000_000, 4_000_000
-#: Samples whose depths go to all tasks.
-SAMPLES = 1_000_000
+#: Samples whose depths or places go to all tasks; samples of a row that are collected together.
+SAMPLES, BLOCK = 1_000_000, 4096
 
 
 def read_kmers(reads: DataFrame, k: int, canonical: bool = True, n_as_a: bool = False, keep: list[str] = ("sample",)) -> DataFrame:
@@ -117,11 +117,44 @@ def filter_dosage(tidy: DataFrame, depth: DataFrame, n_samples: int, max_count:
     return c.select("kmer", "sample", "cnt", F.least(F.lit(float(ploidy)), F.round(F.col("cnt") * ploidy / F.col("depth"))).alias("dosage"))
 
 
-def bimbam(dosage: DataFrame, samples: list[str], allele1: str = "A", allele0: str = "T") -> DataFrame:
-    """kmer, allele1, allele0, dosage: an array in the order of samples, 0 where there is none."""
-    got = dosage.groupBy("kmer").agg(F.map_from_entries(F.collect_list(F.struct("sample", "dosage"))).alias("m"))
-    order = F.array(*[F.lit(s) for s in samples])
-    return got.select("kmer", F.lit(allele1).alias("allele1"), F.lit(allele0).alias("allele0"), F.transform(order, lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0.0))).alias("dosage"))
+def _filled(s: F.col, n: F.col) -> F.col:
+    """An array of n values of a sorted array of (place, x), 0 where there is none; a place that comes twice raises."""
+    last = lambda k: F.coalesce(F.get(s, k)["place"], F.lit(-1).cast("long"))
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+
+    def part(e, i):
+        gap = e["place"] - last(i - 1) - 1
+        gap = F.when(gap < 0, F.raise_error(F.lit("a sample comes twice for a k-mer")).cast("long")).otherwise(gap)
+        return F.concat(zeros(gap), F.array(F.coalesce(e["x"], F.lit(0.0))))
+
+    return F.concat(F.flatten(F.transform(s, part)), zeros(n - 1 - last(F.size(s) - 1)))
+
+
+def bimbam(dosage: DataFrame, samples: list[str] | DataFrame, allele1: str = "A", allele0: str = "T") -> DataFrame:
+    """kmer, allele1, allele0, dosage: an array in the order of samples, 0 where there is none or it is null.
+
+    samples: a list, or a table (sample, place from 0 without gaps). Other samples are left out; a sample that comes twice
+    for a k-mer raises. Places are joined to the rows, and over BLOCK samples arrays are made by blocks, then put together,
+    so that no task holds all rows of a k-mer one by one."""
+    if not isinstance(samples, DataFrame):
+        samples = dosage.sparkSession.createDataFrame(list(enumerate(samples)), "place long, sample string")
+    n = samples.count()
+    at = samples.select("sample", F.col("place").cast("long").alias("place"))
+    rows = dosage.select("kmer", "sample", F.col("dosage").cast("double").alias("x")).join(F.broadcast(at) if n <= SAMPLES else at, "sample", "left")
+    size = BLOCK if n > BLOCK else max(1, n)
+    rows = rows.withColumn("block", F.floor(F.col("place") / size)).withColumn("place", F.col("place") % size)
+    got = rows.groupBy("kmer", *["block"] * (n > BLOCK)).agg(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "x")))).alias("s"))
+    if n > BLOCK:
+        long = F.least(F.lit(BLOCK), n - F.col("block") * BLOCK)
+        got = got.select("kmer", "block", F.when(F.col("block").isNotNull(), _filled(F.col("s"), long)).alias("part"))
+        got = got.groupBy("kmer").agg(F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("block", "part")))).alias("s"))
+        last = lambda k: F.coalesce(F.get("s", k)["block"], F.lit(-1).cast("long"))
+        zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+        whole = F.flatten(F.transform("s", lambda e, i: F.concat(zeros((e["block"] - last(i - 1) - 1) * BLOCK), e["part"])))
+        row = F.concat(whole, zeros(n - F.least(F.lit(n).cast("long"), (last(F.size("s") - 1) + 1) * BLOCK)))
+    else:
+        row = _filled(F.col("s"), F.lit(n).cast("long"))
+    return got.select("kmer", F.lit(allele1).alias("allele1"), F.lit(allele0).alias("allele0"), row.alias("dosage"))
 
 
 def bimbam_lines(rows: DataFrame) -> DataFrame:

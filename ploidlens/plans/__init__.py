@@ -69,6 +69,11 @@ def assoc_ols(spark, d):
     return x.select("kmer", F.col("n").cast("long").alias("n"), F.round("beta", 8).alias("beta"), F.round("r2", 8).alias("r2"))
 
 
+def _places(spark, d):
+    """Samples and their places in dosage arrays."""
+    return intervals.name_ids(_read(spark, d, "embeddings"), "vec_id").select(F.col("name").alias("sample"), F.col("id").alias("place"))
+
+
 def _samples(spark, d):
     """The list of samples, which the workflow has as a file."""
     return [r["vec_id"] for r in _read(spark, d, "embeddings").select("vec_id").distinct().orderBy("vec_id").collect()]
@@ -80,7 +85,7 @@ def _rows(tidy, samples):
 
 def bimbam_rows(spark, d):
     tidy, _ = _embed(spark, d)
-    rows = _rows(tidy.withColumn("dosage", F.round("dosage", 4)), _samples(spark, d))
+    rows = kmers.bimbam(tidy.withColumn("dosage", F.round("dosage", 4)), _places(spark, d))
     return rows.select("kmer", "allele1", "allele0", F.size("dosage").cast("long").alias("n"), F.aggregate(F.transform("dosage", lambda x, i: F.round(x * 10_000).cast("long") * i), F.lit(0).cast("long"), lambda a, x: a + x).alias("ordered"), F.round(F.aggregate("dosage", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 

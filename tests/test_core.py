@@ -513,3 +513,21 @@ def test_workflow(spark, tmp_path):
     assert pipeline.step("b2g") and kmers.vcf_header(["a"])[-1].endswith("FORMAT\ta")
     with pytest.raises(ValueError):
         pipeline.step("nope")
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_bimbam_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(kmers, "BLOCK", block)
+    df = spark.createDataFrame([("k", "s6", 6.0), ("k", "s0", 1.0), ("k", "s3", None), ("k", "x", 9.0), ("l", "s4", 4.0), ("m", "x", 1.0)], "kmer string, sample string, dosage double")
+    want = {"k": [1.0, 0, 0, 0, 0, 0, 6, 0, 0], "l": [0.0] * 4 + [4] + [0] * 4, "m": [0.0] * 9}
+    names = [f"s{k}" for k in range(9)]
+    at = spark.createDataFrame(list(enumerate(names)), "place long, sample string")
+    for samples in (names, at):
+        assert {r.kmer: r.dosage for r in kmers.bimbam(df, samples).collect()} == want
+    with pytest.raises(Exception, match="comes twice"):
+        kmers.bimbam(df.union(df), names).collect()
+
+
+def test_bimbam_plan_has_no_sample(spark):
+    plan = lambda n: len(kmers.bimbam(spark.createDataFrame([("k", "s1", 1.0)], "kmer string, sample string, dosage double"), [f"s{k}" for k in range(n)])._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(3000) < 2 * plan(30)
