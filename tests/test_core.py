@@ -531,3 +531,18 @@ def test_bimbam_by_blocks(spark, monkeypatch, block):
 def test_bimbam_plan_has_no_sample(spark):
     plan = lambda n: len(kmers.bimbam(spark.createDataFrame([("k", "s1", 1.0)], "kmer string, sample string, dosage double"), [f"s{k}" for k in range(n)])._jdf.queryExecution().optimizedPlan().toString())
     assert plan(3000) < 2 * plan(30)
+
+
+@pytest.mark.parametrize("most", [2, 65_536])
+def test_kinship_by_tiles(spark, monkeypatch, most):
+    monkeypatch.setattr(gwas, "MARKERS", most)
+    n = gwas.TILE + 30
+    g = np.random.default_rng(4).integers(0, 5, (5, n)).astype(float)
+    c = g - g.mean(1, keepdims=True)
+    want = c.T @ c / 5
+    rows = spark.createDataFrame([(x.tolist(),) for x in g], "dosage array<double>")
+    assert np.allclose(gwas.kinship(rows, n), want)
+    cells = gwas.kinship_cells(rows, [3 * k + 1 for k in range(n)]).toPandas()
+    k = np.full((n, n), np.nan)
+    k[cells.i // 3, cells.j // 3] = cells.k
+    assert len(cells) == n * n and np.allclose(k, want)
