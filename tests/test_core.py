@@ -546,3 +546,22 @@ def test_kinship_by_tiles(spark, monkeypatch, most):
     k = np.full((n, n), np.nan)
     k[cells.i // 3, cells.j // 3] = cells.k
     assert len(cells) == n * n and np.allclose(k, want)
+
+
+@pytest.mark.parametrize("gone", [0, 2])
+def test_lmm_of_few_equals_lmm(spark, gone):
+    rng = np.random.default_rng(8)
+    n = 70
+    g = rng.integers(0, 5, (9, n)).astype(float)
+    g[5], g[6] = 2.0, g[1]
+    y = g[0] * 0.4 + g[2:5].sum(0) * 0.3 + rng.normal(size=n)
+    y[:gone] = np.nan
+    rows = spark.createDataFrame([(f"k{j}", "A", "T", x.tolist()) for j, x in enumerate(g)], "kmer string, allele1 string, allele0 string, dosage array<double>")
+    k = gwas.kinship(rows, n)
+    want = {r.rs: r for r in gwas.lmm(rows, y, gwas.principal_components(k), k).collect()}
+    each = spark.createDataFrame([(float(t), x.tolist()) for t, x in zip(y, g.T)], "trait double, dosage array<double>").repartition(3)
+    got = {r.rs: r for r in gwas.lmm_of_few(each, [f"k{j}" for j in range(9)]).collect()}
+    assert got.keys() == want.keys() and got["k5"].beta is None and want["k5"].beta is None
+    for rs, r in want.items():
+        for c in ("n_miss", "af") if rs == "k5" else ("n_miss", "af", "beta", "se", "logl_H1", "p_wald"):
+            assert math.isclose(got[rs][c], r[c], rel_tol=1e-5, abs_tol=1e-9), (rs, c, got[rs][c], r[c])
