@@ -565,3 +565,17 @@ def test_lmm_of_few_equals_lmm(spark, gone):
     for rs, r in want.items():
         for c in ("n_miss", "af") if rs == "k5" else ("n_miss", "af", "beta", "se", "logl_H1", "p_wald"):
             assert math.isclose(got[rs][c], r[c], rel_tol=1e-5, abs_tol=1e-9), (rs, c, got[rs][c], r[c])
+
+
+def test_overlap_of_repeated_coordinates(spark):
+    rng = np.random.default_rng(3)
+    make = lambda n: [(None if x == 9 else f"c{x % 2}", int(b), int(b + w), k) for k, (x, b, w) in enumerate(zip(rng.integers(0, 10, n), rng.integers(0, 12, n), rng.integers(0, 4, n)))]
+    x, y = make(900), make(700)
+    a, b = (spark.createDataFrame(v, "chrom string, beg long, end long, bin long") for v in (x, y))
+    assert intervals._repeats(a, b) and not intervals._repeats(a.limit(1), b.limit(1)) and not intervals._repeats(a.limit(0), b)
+    got = intervals.overlap(a, b, width=4)
+    assert got.columns == ["chrom", "beg", "end", "bin", "b_chrom", "b_beg", "b_end", "b_bin"]
+    want = sorted((*p, *q) for p in x for q in y if p[0] and p[0] == q[0] and p[1] < q[2] and q[1] < p[2])
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 2 and plan.count("Aggregate [") == 2  # different coordinates only
