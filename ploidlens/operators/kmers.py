@@ -11,6 +11,8 @@ from ploidlens.functions import align, codec, rolling
 
 #: Distinct k-mers that a task counts before it passes them on; listed k-mers that go to all tasks (16 bytes each).
 HELD, LISTED = 2_000_000, 4_000_000
+#: Longest k-mer with a place for each code in an array of a task (32 MB).
+DENSE = 11
 #: Samples whose depths or places go to all tasks; samples of a row that are collected together.
 SAMPLES, BLOCK = 1_000_000, 4096
 
@@ -50,9 +52,9 @@ def count(reads: DataFrame, k: int = 31, canonical: bool = True, n_as_a: bool =
         for b in batches:
             sample = np.array([names.setdefault(v, len(names)) for v in b.column(0).to_pylist()], np.int64)
             seqs = b.column(1).to_pylist()
-            for lo in range(0, len(seqs), 500):
-                code, at = rolling.codes(seqs[lo : lo + 500], k, canonical, n_as_a)
-                part = np.column_stack([sample[lo : lo + 500][at], code, np.ones(len(code), np.int64)])
+            for lo, hi in rolling.steps(seqs):
+                code, at = rolling.codes(seqs[lo:hi], k, canonical, n_as_a)
+                part = np.column_stack([sample[lo:hi][at], code, np.ones(len(code), np.int64)])
                 held.append(part)
                 if sum(map(len, held)) > HELD:
                     held = [merged()]
@@ -66,21 +68,51 @@ def count(reads: DataFrame, k: int = 31, canonical: bool = True, n_as_a: bool =
     return total.select(F.col("sample").cast(rows.schema["sample"].dataType).alias("sample"), codec.decode(F.col("code"), k).alias("kmer"), "cnt")
 
 
+def _distinct(code: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The codes of each read, once a read; reads are fewer than 512."""
+    if k > 27:
+        o = np.lexsort((at, code))
+        code, at = code[o], at[o]
+        return code[np.concatenate([[True], (code[1:] != code[:-1]) | (at[1:] != at[:-1])])] if len(code) else code
+    both = np.sort((at << 2 * k | code).astype(np.int32 if k <= 11 else np.int64))
+    return (both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both).astype(np.int64) & (1 << 2 * k) - 1
+
+
 def in_reads(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, n_reads) of reads (seq): in how many reads each canonical k-mer (k up to 31) is. Null and short reads have none; each row is a read."""
+    """(kmer, n_reads) of reads (seq): in how many reads each canonical k-mer (k up to 31) is. Null and short reads have none; each row is a read.
+
+    A task adds up what its reads have: for k up to DENSE in one array, else up to HELD distinct k-mers at a time."""
+
+    def out(code, n):
+        return pa.record_batch([pa.array(code), pa.array(n)], ["code", "n"])
 
     def run(batches):
+        whole = np.zeros(4**k if k <= DENSE else 0, np.int64)
+        held: list[tuple] = []
+
+        def merged():
+            code, n = (np.concatenate([h[q] for h in held]) for q in (0, 1))
+            o = np.argsort(code, kind="stable")
+            code, n = code[o], n[o]
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            return code[first], np.add.reduceat(n, first) if len(first) else n
+
         for b in batches:
             seqs = b.column(0).to_pylist()
-            for lo in range(0, len(seqs), 500):
-                code, at = rolling.codes(seqs[lo : lo + 500], k)
-                o = np.lexsort((at, code))
-                code, at = code[o], at[o]
-                new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
-                one = new | np.concatenate([[True], at[1:] != at[:-1]]) if len(code) else new
-                first = np.flatnonzero(new)
-                if len(first):
-                    yield pa.record_batch([pa.array(code[first]), pa.array(np.add.reduceat(one.astype(np.int64), first))], ["code", "n"])
+            for lo, hi in rolling.steps(seqs):
+                code = _distinct(*rolling.codes(seqs[lo:hi], k), k)
+                if k <= DENSE:
+                    whole += np.bincount(code, minlength=len(whole))
+                    continue
+                held.append(np.unique(code, return_counts=True))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield out(*held.pop())
+        if k <= DENSE:
+            held = [(np.flatnonzero(whole), whole[whole > 0])]
+        if held:
+            yield out(*merged())
 
     found = reads.select("seq").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n_reads"))
     return found.select(codec.decode(F.col("code"), k).alias("kmer"), "n_reads")
@@ -196,34 +228,59 @@ def retrieve(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(keys.select("kmer").distinct(), "kmer", "left_semi")
 
 
+def _few(listed: DataFrame) -> pa.Table | None:
+    """A table of up to LISTED rows at the driver, computed once; else None."""
+    got = listed.limit(LISTED + 1).toArrow()
+    return got if got.num_rows <= LISTED else None
+
+
+def _finder(code: np.ndarray, k: int):
+    """A function of codes to their first places in a sorted array of codes, -1 for none."""
+    if k <= DENSE:
+        place = np.full(4**k, -1, np.int32)
+        place[code[::-1]] = np.arange(len(code), dtype=np.int32)[::-1]
+        return lambda c: place[c]
+    if not len(code):
+        return lambda c: np.full(len(c), -1)
+
+    def find(c):
+        p = np.minimum(np.searchsorted(code, c), len(code) - 1)
+        return np.where(code[p] == c, p, -1)
+
+    return find
+
+
 def hits(reads: DataFrame, kmers: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:
     """For each read with a listed k-mer (kmer, p), on either strand: id_col, p (the smallest) and n_kmers (different ones).
 
-    Up to LISTED k-mers go to all tasks, and reads aren't shuffled but by what they have; more are joined."""
+    Up to LISTED k-mers go to all tasks, and reads aren't shuffled but by what they have; more are joined. The list is computed once."""
     listed = kmers.groupBy(codec.canonical(codec.bases(F.col("kmer"))).alias("kmer")).agg(F.min("p").alias("p")).filter(F.length("kmer") == k)
     rows = reads.select(id_col, "seq")
-    if k > rolling.LONGEST or listed.count() > LISTED:
+    got = None
+    if k <= rolling.LONGEST:
+        got = _few(listed.select(codec.encode(F.col("kmer")).alias("code"), F.col("p").cast("double").alias("p")).filter("code is not null"))
+    if got is None:
         found = read_kmers(rows, k, True, keep=[id_col]).join(listed, "kmer")
         return found.groupBy(id_col).agg(F.min("p").alias("p"), F.countDistinct("kmer").alias("n_kmers"))
-    got = listed.select(codec.encode(F.col("kmer")).alias("code"), F.col("p").cast("double").alias("p")).filter("code is not null").orderBy("code").toArrow()  # LISTED rows at most
+    got = got.sort_by("code")
     held = reads.sparkSession.sparkContext.broadcast((got.column("code").to_numpy(), got.column("p").to_numpy()))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
         code, p = held.value
+        find = _finder(code, k)
         for b in batches:
             seqs = b.column(1).to_pylist()
-            for lo in range(0, len(seqs), 500):
-                c, at = rolling.codes(seqs[lo : lo + 500], k)
-                if not len(c) or not len(code):
+            for lo, hi in rolling.steps(seqs):
+                c, at = rolling.codes(seqs[lo:hi], k)
+                place = find(c)
+                hit = np.flatnonzero(place >= 0)
+                if not len(hit):
                     continue
-                place = np.minimum(np.searchsorted(code, c), len(code) - 1)
-                hit = code[place] == c
-                pair = np.unique(np.column_stack([at[hit], place[hit]]), axis=0)
-                read, first, n = np.unique(pair[:, 0], return_index=True, return_counts=True)
-                if len(read):
-                    least = np.fmin.reduceat(p[pair[:, 1]], first)
-                    yield pa.record_batch([b.column(0).take(pa.array(read + lo)), pa.array(least, mask=np.isnan(least)), pa.array(n.astype(np.int64)), pa.array(pair[:, 1][first])], [id_col, "p", "n_kmers", "x"]).select([0, 1, 2])
+                at, place = np.divmod(np.unique(at[hit] * len(code) + place[hit]), len(code))
+                read, first, n = np.unique(at, return_index=True, return_counts=True)
+                least = np.fmin.reduceat(p[place], first)
+                yield pa.record_batch([b.column(0).take(pa.array(read + lo)), pa.array(least, mask=np.isnan(least)), pa.array(n.astype(np.int64))], [id_col, "p", "n_kmers"])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, p double, n_kmers long")
 

@@ -17,10 +17,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").filter("text is not null")
-    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, AS)
+    table = _read(spark, d, "documents")
+    docs = table.filter("text is not null").select(F.col("doc_id").alias("read_id"), F.col("source").alias("sample"), "text", "n_chars")
     parts = spark.sparkContext.defaultParallelism
-    return docs.select(F.col("doc_id").alias("read_id"), F.col("source").alias("sample"), "text", "n_chars").repartition(max(parts, docs.rdd.getNumPartitions()), "read_id").select("read_id", "sample", seq.alias("seq"), "n_chars")
+    dealt = [r["count"] for r in table.groupBy(F.spark_partition_id()).count().collect()]  # from the files' footers
+    if max(dealt, default=0) * parts > 2 * sum(dealt):  # else the texts stay where they are
+        docs = docs.repartition(max(parts, len(dealt)), "read_id")
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), LETTERS, AS)
+    return docs.select("read_id", "sample", seq.alias("seq"), "n_chars")
 
 
 SEQ = f"SELECT doc_id AS read_id, source AS sample, n_chars, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{AS}') AS seq FROM documents WHERE text IS NOT NULL"

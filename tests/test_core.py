@@ -579,3 +579,25 @@ def test_overlap_of_repeated_coordinates(spark):
     assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode") == 2 and plan.count("Aggregate [") == 2  # different coordinates only
+
+
+def test_in_reads_counts_reads(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    seqs = ["".join(rng.choice(list("ACGT"), rng.integers(0, 60))) for _ in range(70)] * 2 + [None]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(2)
+    for k in (2, 11, 12, 28):
+        monkeypatch.setattr(kmers, "HELD", 3 if k == 12 else 2_000_000)
+        want = {}
+        for s in seqs:
+            for w in {min(x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))) for x in ((s or "")[i : i + k] for i in range(len(s or "") - k + 1))}:
+                want[w] = want.get(w, 0) + 1
+        assert {r.kmer: r.n_reads for r in kmers.in_reads(df, k).collect()} == want
+
+
+def test_texts_in_many_files_stay_where_they_are(spark, tmp_path):
+    from ploidlens import plans
+
+    spark.range(64).selectExpr("id doc_id", "'s' source", "'Some text 1' text", "11L n_chars").repartition(16).write.parquet(f"{tmp_path}/documents.parquet")
+    r = plans.reads(spark, str(tmp_path))
+    assert "Repartition" not in r._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.seq for x in r.collect()} == {"GGAATATT"} and r.count() == 64
