@@ -304,14 +304,13 @@ def fetch_pairs(r1: DataFrame, r2: DataFrame, kmers: DataFrame, k: int) -> DataF
     """Pairs of reads (name, comment, seq, qual), by name, of which one or both have a listed k-mer: pair, p and n_kmers, and a struct for each mate.
 
     n_kmers adds up both mates'. A read without a mate has none (null struct)."""
-    def side(r, x):
-        cols = F.struct("name", "comment", "seq", "qual").alias(x)
-        rows = r.select(pair_name(F.col("name")).alias("pair"), cols, F.col("seq"))
-        return rows.drop("seq"), hits(rows, kmers, k, "pair")
-
-    (a, ha), (b, hb) = side(r1, "r1"), side(r2, "r2")
-    found = ha.union(hb).groupBy("pair").agg(F.min("p").alias("p"), F.sum("n_kmers").alias("n_kmers"))
-    return found.join(a, "pair", "left").join(b, "pair", "left")
+    def side(r):
+        return r.withColumn("pair", pair_name(F.col("name")))
+
+    a, b = side(r1), side(r2)
+    found = hits(a.select("pair", "seq").union(b.select("pair", "seq")), kmers, k, "pair").groupBy("pair").agg(F.min("p").alias("p"), F.sum("n_kmers").alias("n_kmers"))
+    mate = lambda r, x: r.select("pair", F.struct("name", "comment", "seq", "qual").alias(x))
+    return found.join(mate(a, "r1"), "pair", "left").join(mate(b, "r2"), "pair", "left")
 
 
 def traced(pairs: DataFrame, mate: str) -> DataFrame:

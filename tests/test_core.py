@@ -581,6 +581,17 @@ def test_overlap_of_repeated_coordinates(spark):
     assert plan.count("explode") == 2 and plan.count("Aggregate [") == 2  # different coordinates only
 
 
+def test_listed_kmers_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def rows():
+        return spark.createDataFrame(spark.sparkContext.parallelize([("ACGTA", 0.5), ("CCCCC", 0.1)]).map(lambda x: (seen.add(1), x)[1]), "kmer string, p double")
+
+    reads = lambda m: spark.createDataFrame([(f"a/{m}", None, "ACGTA" * m, None), (f"b/{m}", None, "TTTTT", None)], "name string, comment string, seq string, qual string")
+    assert [(r.pair, r.p, r.n_kmers, r.r1.seq, r.r2.name) for r in kmers.fetch_pairs(reads(1), reads(2), rows(), 5).collect()] == [("a", 0.5, 2, "ACGTA", "a/2")]
+    assert seen.value == 2
+
+
 def test_in_reads_counts_reads(spark, monkeypatch):
     rng = np.random.default_rng(7)
     seqs = ["".join(rng.choice(list("ACGT"), rng.integers(0, 60))) for _ in range(70)] * 2 + [None]
