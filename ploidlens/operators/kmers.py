@@ -336,19 +336,37 @@ def tag_pvalue(records: DataFrame, kmers: DataFrame, k: int, tag: str = "XP") ->
 def genome_hits(listed: DataFrame, genome: DataFrame, k: int) -> DataFrame:
     """Exact places of listed k-mers (kmer) in sequences (name, seq), on both strands: kmer, chrom, pos (0-based), strand.
 
-    Each task has whole sequences; the places of a sequence come from arrays, not from windows as rows."""
-    given = listed.select(codec.bases(F.col("kmer")).alias("kmer")).distinct().withColumn("canon", codec.canonical(F.col("kmer")))
+    Each task has whole sequences; the places of a sequence come from arrays, not from windows as rows. Up to LISTED k-mers go
+    to all tasks, and only their places leave these; for more, all places are joined with the list."""
+    given = listed.select(codec.bases(F.col("kmer")).alias("kmer")).distinct().filter(F.length("kmer") == k).withColumn("canon", codec.canonical(F.col("kmer")))
+    want = given.select("kmer", codec.encode(F.col("canon")).alias("code"), codec.encode(F.col("kmer")).alias("own_code")).filter("code is not null")
+    few = _few(want)
+    held = few and genome.sparkSession.sparkContext.broadcast(few.combine_chunks().sort_by("code"))
 
     def run(batches):
+        if held:
+            code, own_code = (held.value.column(c).to_numpy() for c in ("code", "own_code"))
+            kmer = held.value.column("kmer").combine_chunks()
+            find = _finder(code, k)
+            same = np.diff(np.append(np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])), len(code))) if len(code) else code
+            many = np.repeat(same, same)  # of each code, how many k-mers have it: one or both strands
         for b in batches:
-            for name, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = rolling.codes([seq], k, False)[0]
-                y = rolling.codes([seq], k)[0]
-                bad = np.frombuffer((seq or "").upper().replace("U", "T").encode("ascii", "replace"), np.uint8)
-                ok = np.concatenate([[0], np.cumsum(~np.isin(bad, list(b"ACGT")))])
-                at = np.flatnonzero(ok[k:] == ok[:-k]) if len(bad) >= k else np.zeros(0, np.int64)
-                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(y), pa.array(x)], ["chrom", "pos", "code", "own"])
-
-    places = genome.select("name", "seq").mapInArrow(run, "chrom string, pos long, code long, own long")
-    want = given.withColumn("code", codec.encode(F.col("canon"))).withColumn("own_code", codec.encode(F.col("kmer")))
+            names, seqs = b.column(0), b.column(1).to_pylist()
+            for lo, hi in rolling.steps(seqs):
+                c, own, at, pos = rolling.places(seqs[lo:hi], k)
+                if not held:
+                    yield pa.record_batch([names.take(pa.array(at + lo)), pa.array(pos), pa.array(c), pa.array(own)], ["chrom", "pos", "code", "own"])
+                    continue
+                place = find(c)
+                hit = np.flatnonzero(place >= 0)
+                if len(hit):
+                    n = many[place[hit]]
+                    first = np.repeat(place[hit], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    hit = np.repeat(hit, n)
+                    yield pa.record_batch([kmer.take(pa.array(first)), names.take(pa.array(at[hit] + lo)), pa.array(pos[hit]), pa.array(np.where(own[hit] == own_code[first], "+", "-"))], ["kmer", "chrom", "pos", "strand"])
+
+    rows = genome.select(F.col("name").cast("string").alias("name"), "seq")
+    if held:
+        return rows.mapInArrow(run, "kmer string, chrom string, pos long, strand string")
+    places = rows.mapInArrow(run, "chrom string, pos long, code long, own long")
     return places.join(want, "code").select("kmer", "chrom", "pos", F.when(F.col("own") == F.col("own_code"), "+").otherwise("-").alias("strand"))

@@ -581,6 +581,25 @@ def test_overlap_of_repeated_coordinates(spark):
     assert plan.count("explode") == 2 and plan.count("Aggregate [") == 2  # different coordinates only
 
 
+@pytest.mark.parametrize("k", [5, 13])
+@pytest.mark.parametrize("most", [0, 100])
+def test_genome_hits_leave_tasks_alone(spark, monkeypatch, most, k):
+    monkeypatch.setattr(kmers, "LISTED", most)
+    rng = np.random.default_rng(6)
+    seqs = ["".join(rng.choice(list("ACGTN"), rng.integers(0, 400), p=[0.24] * 4 + [0.04])) for _ in range(40)] + [None, "ACG"]
+    pick = [s[i : i + k] for s in seqs[:30] if s and len(s) > 60 for i in (3, 40) if "N" not in s[i : i + k]]
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    listed = sorted({*pick[:20], *map(back, pick[:5]), pick[0] + "A", "N" * k})
+    got = kmers.genome_hits(spark.createDataFrame([(x,) for x in listed], "kmer string"), spark.createDataFrame([(f"c{j}", s) for j, s in enumerate(seqs)], "name string, seq string").repartition(3), k)
+    want = []
+    for j, s in enumerate(seqs):
+        for i in range(len(s or "") - k + 1):
+            w = s[i : i + k]
+            want += [(x, f"c{j}", i, "+" if x == w else "-") for x in listed if len(x) == k and "N" not in w and x in (w, back(w))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+
+
 def test_listed_kmers_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
